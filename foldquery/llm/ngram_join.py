@@ -5,18 +5,20 @@ Method: token-combination prefixes. A document's tokens are the 64-bit numbers o
 1. Documents with equal sets form one class; only its smallest id goes on.
 2. Extended prefixes. In the order of the token numbers, two sets that link share at least l(n) tokens among their first
    n - ceil(t n) + l(n) tokens, where l(n) grows with n. Only those are counted over the corpus, so the counts cost a
-   third of the tokens and not all.
-3. In the order of these counts, sets that share m of such tokens share k of them among all but the last m - k. Tokens
-   that one document alone has link nothing, and most documents have enough of them to be done here.
+   third of the tokens and not all. A document goes on if l of its prefix tokens occur elsewhere; most don't.
+3. The whole sets of the documents that are left are counted. In the order of these counts, sets that link share k tokens
+   among all but their last ceil(t n) - k. Tokens that one document alone has link nothing, however many come first.
 4. A rare token (count up to `frequent`) is a key by itself. For frequent tokens each pair of a document's frequent
    prefix tokens is a key (k = 2). Documents too small to be sure of two, or with more than `combine` frequent prefix
    tokens, use single frequent tokens; the others carry these as well, to meet only such documents.
-5. Buckets of equal keys are not expanded into pairs. In each round a bucket's largest component sends one leader to
-   the bucket's members outside of it; links found join components; buckets of one component are done. After the
-   rounds, every untried pair between different components of an open bucket is verified, so no link is lost.
+5. Buckets of equal keys are not expanded into pairs. In each round a bucket's largest component sends one leader (first
+   the one with the fewest tokens of its own, which is nearest to what its copies have in common) to the bucket's members
+   outside of it; links found join components; buckets of one component are done. After the rounds, every untried pair
+   between different components of an open bucket is verified, so no link is lost. Pairs whose sizes or numbers of tokens
+   shared with anyone rule a link out are passed over throughout.
 6. Verification intersects the two whole sets.
 
-Steps 2 to 6 lose nothing whatever the counts or classes of tokens are; these only decide the cost.
+Steps 2 to 5 lose nothing whatever the counts or classes of tokens are; these only decide the cost.
 """
 
 from __future__ import annotations
@@ -89,18 +91,26 @@ def _linker(num: int, den: int):
 SCANNED = "id long, n int, d1 long, d2 long, tokens binary"
 
 
-def _keys(shared: DataFrame, num: int, den: int, share: int, frequent: int, combine: int) -> DataFrame:
-    """shared (id, n, tok, c), c >= 2, to bucket rows (key, lone, id, n). A pair counts in a bucket with a frequent single token only if a row there is lone."""
-    m = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) * share / 100).cast("int"))
+def _counted(sets: DataFrame) -> DataFrame:
+    """(id, tokens) to (id, tok, c) of the tokens that c > 1 of the rows hold."""
+    toks = sets.select("id", "tokens").mapInArrow(_exploded, "tok long, id long")
+    return toks.join(toks.groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("c")).where("c > 1"), "tok")
+
+
+def _keys(shared: DataFrame, num: int, den: int, frequent: int, combine: int) -> DataFrame:
+    """shared (id, n, tok, c) to bucket rows (key, lone, id, n, s); s: tokens of the set that others hold too.
+
+    A pair counts in a bucket with a frequent single token only if a row there is lone.
+    """
     doc = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
-    doc = doc.withColumn("m", m).withColumn("r", F.size("toks") - F.col("m") + F.least(F.col("m"), F.lit(2))).where("r > 0")
+    doc = doc.withColumn("m", F.ceil(F.col("n") * num / den).cast("int")).withColumn("s", F.size("toks")).withColumn("r", F.col("s") - F.col("m") + F.least(F.col("m"), F.lit(2))).where("s >= m and r > 0")
     doc = doc.withColumn("toks", F.expr("slice(toks, 1, r)"))
-    doc = doc.select("id", "n", "m", F.expr(f"transform(filter(toks, x -> x.c <= {frequent}), x -> x.tok)").alias("rare"), F.expr(f"transform(filter(toks, x -> x.c > {frequent}), x -> x.tok)").alias("often"))
+    doc = doc.select("id", "n", "m", "s", F.expr(f"transform(filter(toks, x -> x.c <= {frequent}), x -> x.tok)").alias("rare"), F.expr(f"transform(filter(toks, x -> x.c > {frequent}), x -> x.tok)").alias("often"))
     doc = doc.withColumn("lone", (F.col("m") < 2) | (F.size("often") > combine))
     pairs = "flatten(transform(often, (x, i) -> transform(slice(often, i + 2, greatest(size(often) - i - 1, 0)), y -> named_struct('key', xxhash64(least(x, y), greatest(x, y)), 'kind', 2))))"
     singles = "concat(transform(rare, x -> named_struct('key', x, 'kind', 0)), transform(often, x -> named_struct('key', x, 'kind', 1)))"
-    rows = doc.select("id", "n", "lone", F.explode(F.expr(f"concat({singles}, if(lone, array(), {pairs}))")).alias("k"))
-    rows = rows.select(F.xxhash64("k.key", "k.kind").alias("key"), (F.col("lone") | (F.col("k.kind") != 1)).alias("lone"), "id", "n").distinct()
+    rows = doc.select("id", "n", "s", "lone", F.explode(F.expr(f"concat({singles}, if(lone, array(), {pairs}))")).alias("k"))
+    rows = rows.select(F.xxhash64("k.key", "k.kind").alias("key"), (F.col("lone") | (F.col("k.kind") != 1)).alias("lone"), "id", "n", "s").distinct()
     alive = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.max("lone").alias("any")).where("g > 1 and any").select("key")
     return rows.join(alive, "key")
 
@@ -119,14 +129,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "n")
 
-    toks = nodes.select("id", "tokens").mapInArrow(_exploded, "tok long, id long")
-    counts = toks.groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("c")).where("c > 1")
-    shared = toks.join(counts, "tok").join(reps, "id").select("id", "n", "tok", "c")
-    buckets = written(_keys(shared, num, den, share, frequent, combine), "buckets")
-
-    active = buckets.select("id").distinct()
+    m = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) * share / 100))
+    active = _counted(nodes).groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(reps, "id").where(F.col("s") >= m).select("id")
     sets = source.join(active, "id", "left_semi").mapInArrow(_scanner(ngram, num, den, share, True), SCANNED)
-    sets = written(sets.join(reps, ["id", "n"], "left_semi").select("id", "tokens"), "sets")
+    sets = written(sets.join(reps, ["id", "n"], "left_semi").select("id", "n", "tokens"), "sets")
+    shared = _counted(sets).join(sets.select("id", "n"), "id").select("id", "n", "tok", "c")
+    buckets = written(_keys(shared, num, den, frequent, combine), "buckets")
 
     def links(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
@@ -134,21 +142,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
         return both.mapInArrow(_linker(num, den), "src long, dst long")
 
-    near = (F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num)
+    most = F.least("a_n", "b_n", "a_s", "b_s")  # of what the two can share
+    near = most * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = written(active.select("id", F.col("id").alias("root")), "roots")
+    comp = written(buckets.select("id", F.col("id").alias("root")).distinct(), "roots")
     tried = None
     for r in range(rounds + 1):
         placed = buckets.join(comp, "id")
-        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "n", "lone")).alias("lead"))
+        first = F.xxhash64("id", F.lit(r)) if r else ((F.col("n") - F.col("s")) * 10_000 / F.col("n")).cast("long")
+        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(first.alias("o"), "id", "n", "s", "lone")).alias("lead"))
         main = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("g", F.expr("-root").alias("o"), "root", "lead")).alias("main")).where("k > 1")
         if r < rounds:
-            main = main.select("key", F.col("main.root").alias("top"), F.col("main.lead.id").alias("a"), F.col("main.lead.n").alias("a_n"), F.col("main.lead.lone").alias("a_lone"))
-            found = placed.withColumnsRenamed({"id": "b", "n": "b_n", "lone": "b_lone"}).join(main, "key").where(F.col("root") != F.col("top"))
+            main = main.select("key", F.col("main.root").alias("top"), F.col("main.lead.id").alias("a"), F.col("main.lead.n").alias("a_n"), F.col("main.lead.s").alias("a_s"), F.col("main.lead.lone").alias("a_lone"))
+            found = placed.withColumnsRenamed({"id": "b", "n": "b_n", "s": "b_s", "lone": "b_lone"}).join(main, "key").where(F.col("root") != F.col("top"))
         else:
             open_ = written(placed.join(main.select("key", F.col("main.root").alias("top")), "key"), "open")
-            out = open_.where("root <> top").select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("lone").alias("a_lone"), F.col("root").alias("a_root"))
-            inn = open_.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("lone").alias("b_lone"), "root", "top")
+            out = open_.where("root <> top").select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"), F.col("lone").alias("a_lone"), F.col("root").alias("a_root"))
+            inn = open_.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"), F.col("lone").alias("b_lone"), "root", "top")
             found = out.join(inn, "key").where((F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("top")) | (F.col("a") < F.col("b"))))
         pairs = pair(found.where(near & (F.col("a_lone") | F.col("b_lone")) & (F.col("a") != F.col("b"))))
         if tried is not None:
