@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -41,6 +42,13 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that no frame refers to any more. Spark deletes them when the driver's garbage
+    collectors find the plans unreachable, which between large steps is too late for the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def forget_written() -> None:
     """Deletes the tables of written(); frames that read them can no longer be run."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldquery.llm.common import WordHash, components, shingle_set, written
+from foldquery.llm.common import WordHash, components, release, shingle_set, written
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -123,6 +123,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several texts. A row whose id is null links with nothing and has a null component. Any other columns are ignored;
     an empty table gives no rows. share: percent of a set by which its prefix is extended (cost only).
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     scanned = written(source.mapInArrow(_scanner(ngram, num, den, share, False), SCANNED), "prefixes")
     nodes = scanned.where("id is not null and n > 0")
@@ -130,11 +131,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = classes.select(F.col("rep").alias("id"), "n")
 
     m = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) * share / 100))
-    active = _counted(nodes).groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(reps, "id").where(F.col("s") >= m).select("id")
+    active = written(_counted(nodes).groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(reps, "id").where(F.col("s") >= m).select("id"), "active")
+    release(spark)
     sets = source.join(active, "id", "left_semi").mapInArrow(_scanner(ngram, num, den, share, True), SCANNED)
     sets = written(sets.join(reps, ["id", "n"], "left_semi").select("id", "n", "tokens"), "sets")
+    release(spark)
     shared = _counted(sets).join(sets.select("id", "n"), "id").select("id", "n", "tok", "c")
     buckets = written(_keys(shared, num, den, frequent, combine), "buckets")
+    del shared
+    release(spark)
 
     def links(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
