@@ -14,7 +14,7 @@ TRIPLES = ("cgc", "ugc", "uau")
 def codes(nt: Column) -> Column:
     """Residues as 1, 2, 4, 8 for a, c, g, u and 0 for others, so that two pair if their or is 6, 9 or 12. Null gives none."""
     marked = F.translate(F.regexp_replace(F.coalesce(nt, F.lit("")), "[^acgu]", "0"), "acgu", "1248")
-    return F.filter(F.split(marked, ""), lambda x: x != "").cast("array<int>")
+    return F.filter(F.split(marked, ""), lambda x: x != "").cast("array<tinyint>")
 
 
 def normalize(text: Column) -> Column:

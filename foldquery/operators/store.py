@@ -99,7 +99,7 @@ def new_only(rows: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
     return rows.dropDuplicates(keys).join(there.select(*keys), keys, "left_anti")
 
 
-def update(df: DataFrame, where: Column, **values) -> DataFrame:
+def update(df: DataFrame, where: Column, /, **values) -> DataFrame:
     """df with columns set in the rows that match; others, null conditions included, stay."""
     hit = F.coalesce(where, F.lit(False))
     return df.withColumns({c: F.when(hit, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})

@@ -101,15 +101,19 @@ def _triple(p5: str, p3: str, single: str) -> str:
     return f"if({single} < {p5}, {ok(p3, p5)}, {ok(p5, p3)})"
 
 
-def windows(sequences: DataFrame, span: int, margin: int = 0, step: int = 512, id_col: str = "seq_id", nt_col: str = "nt") -> DataFrame:
+def windows(sequences: DataFrame, span: int, margin: int = 0, step: int | None = None, id_col: str = "seq_id", nt_col: str = "nt") -> DataFrame:
     """(id, b, off, cur): residue codes of a window, what to add to its positions, and each position of its own part.
 
     A window holds `step` positions of its own, `margin` before them and `span` - 1 after; it ends with the sequence.
     """
+    step = step or min(512, max(64, 2 * (span + margin)))  # each position's row carries its window
     cut = f"""transform(sequence(0, (size(a) - 1) div {step}), k -> named_struct('left', least({margin}, k * {step}), 'k', k))"""
     part = f"""transform({cut}, x -> named_struct('b', slice(a, x.k * {step} - x.left + 1, x.left + {step} + {max(0, span - 1)}), 'off', x.k * {step} - x.left, 'left', x.left))"""
     df = sequences.select(F.col(id_col), codes(F.col(nt_col)).alias("a")).where(F.size("a") > 0)
     df = df.select(id_col, F.explode(F.expr(part)).alias("w")).select(id_col, "w.b", "w.off", "w.left")
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if 0 < sequences._jdf.inputFiles().__len__() < wanted:
+        df = df.repartition(wanted)  # a table of few files would be searched by as few tasks
     return df.select(id_col, "b", "off", F.explode(F.expr(f"sequence(left + 1, least(left + {step}, size(b)))")).alias("cur"))
 
 

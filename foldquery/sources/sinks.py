@@ -63,8 +63,8 @@ class Store:
         fs.rename(self._fs(fresh)[0], old)
         self.spark.catalog.refreshByPath(self.path(name))
 
-    def update(self, name: str, where: Column, **values) -> None:
-        self.rewrite(name, update(self.read(name), where, **values))
+    def update(self, table: str, where: Column, /, **values) -> None:
+        self.rewrite(table, update(self.read(table), where, **values))
 
     def delete(self, name: str, where: Column) -> None:
         self.rewrite(name, delete(self.read(name), where))
