@@ -6,14 +6,12 @@ a declarative mapping to canonical turns (conv_id, turn, role, text). Canonical
     <turn user>
     text</turn>
 
-`&` and `<` inside texts and roles are written `&amp;` and `&lt;`, so the marks can't occur in them and reading back is
+`&` and `<` inside texts and roles are written `&amp;` and `&lt;`, and `>` inside roles `&gt;`, so the marks can't occur in them and reading back is
 exact. The loss mask covers the escaped text of the assistant's turns, as spans of the formatted string.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,7 +115,9 @@ def _of_json(df: DataFrame, json_col: str) -> DataFrame:
     top = F.json_object_keys(json_col)
     first = lambda k: F.array_sort(F.json_object_keys(F.expr(f"get_json_object({json_col}, concat('$.', {k}, '[0]'))")))
     nested = F.transform(top, lambda k: F.when(k.isin("messages", "conversations"), k).otherwise(F.lit(None)))
-    listed = F.flatten(F.array(*(F.when(F.array_contains(nested, c), F.transform(first(f"'{c}'"), lambda x, c=c: F.concat(F.lit(f"{c}[]."), x))).otherwise(F.array().cast("array<string>")) for c in ("messages", "conversations"))))
+    prefixed = lambda c: F.transform(first(f"'{c}'"), lambda x: F.concat(F.lit(f"{c}[]."), x))
+    none = F.array().cast("array<string>")
+    listed = F.flatten(F.array(*(F.when(F.array_contains(nested, c), prefixed(c)).otherwise(none) for c in ("messages", "conversations"))))
     flat = F.filter(top, lambda k: ~k.isin("messages", "conversations", "conv_id"))
     return df.withColumn("_print", F.substring(F.sha2(F.array_join(F.array_sort(F.concat(flat, listed)), "\n"), 256), 1, 16))
 
@@ -130,6 +130,14 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit(">"), F.lit("&gt;"))
+
+
+def unescape_role(c: Column) -> Column:
+    return unescape(F.replace(c, F.lit("&gt;"), F.lit(">")))
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): loss is the array of (start, length) spans, in characters from 0.
 
@@ -139,7 +147,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     piece = t.select("conv_id", F.struct("turn", "role", "text").alias("o"))
     grouped = piece.groupBy("conv_id").agg(F.sort_array(F.collect_list("o")).alias("o"))
-    marked = F.transform("o", lambda x: F.struct(F.concat(F.lit(OPEN), escape(x["role"]), F.lit(">\n")).alias("head"), escape(x["text"]).alias("body"), (x["role"] == ASSISTANT).alias("loss")))
+    marked = F.transform("o", lambda x: F.struct(F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit(">\n")).alias("head"), escape(x["text"]).alias("body"), (x["role"] == ASSISTANT).alias("loss")))
     out = grouped.select("conv_id", marked.alias("p"))
     tail = len(CLOSE) + 1
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
@@ -156,7 +164,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """formatted with `turns` (role, text), read from the string alone, and `loss_text`, all text under the mask."""
     read = F.expr(f"transform(filter(split(formatted, '{CLOSE}\\n', -1), x -> x <> ''), x -> named_struct('role', substring(x, {len(OPEN) + 1}, locate('>\\n', x) - {len(OPEN) + 1}), 'text', substring(x, locate('>\\n', x) + 2)))")
-    clean = F.transform(read, lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(x["text"]).alias("text")))
+    clean = F.transform(read, lambda x: F.struct(unescape_role(x["role"]).alias("role"), unescape(x["text"]).alias("text")))
     loss = F.expr("array_join(transform(loss, s -> substring(formatted, s.start + 1, s.length)), '')")
     return formatted.withColumn("turns", clean).withColumn("loss_text", unescape(loss))
 
@@ -185,7 +193,7 @@ g AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = '{ASSISTANT}'), '') AS loss,
-    sum(length('{OPEN}' || {esc("role")} || '>' || chr(10) || {esc("text")} || '{CLOSE}' || chr(10))) AS formatted_chars
+    sum(length('{OPEN}' || replace({esc("role")}, '>', '&gt;') || '>' || chr(10) || {esc("text")} || '{CLOSE}' || chr(10))) AS formatted_chars
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""

@@ -3,7 +3,7 @@
 Numbers, names (capitalised words inside a sentence) and units of measure become typed placeholders. Windows of five
 template words of the benchmark are a hash table; every window of every document is looked up in it. Hits of one item are
 gathered where document and item run side by side, and the item counts as present if the hits cover 80 % of its words there
-and the placeholders' fillings agree: one filling in the item stands for one filling in the document. So a question whose
+and the placeholders' fillings agree: of the fillings that come more than once, 80 % stand for one and the same on the other side. So a question whose
 numbers or names were exchanged is found, and a text that shares only a frame with other fillings in disorder is not.
 
 The benchmark goes to the workers in blocks of at most `block` windows, one after the other over the documents, so memory
@@ -107,7 +107,7 @@ class Block:
             k = min(WINDOW, len(h))
             literal = np.convolve(kinds == LITERAL, np.ones(k, int), "valid")
             for i, (w, n) in enumerate(zip(shingle_hashes(h, k).tolist(), literal.tolist(), strict=True)):
-                if 2 * n >= k:
+                if 5 * n >= 2 * k:  # windows of little but placeholders say nothing
                     where[w].append((len(self.items), i))
                     self.widths.add(k)
             self.ids.append(item_id)
@@ -152,18 +152,18 @@ class Block:
                     best = (share, found[a : b + 1])
             if best[0] < COVER:
                 continue
-            fill: dict[tuple[int, str], set[str]] = defaultdict(set)
-            back: dict[tuple[int, str], set[str]] = defaultdict(set)
+            fill: dict[tuple[int, str], dict[int, str]] = defaultdict(dict)
+            back: dict[tuple[int, str], dict[int, str]] = defaultdict(dict)
             differ = False
             for _, i, j in best[1]:
                 for x in range(k):
                     if (kind := int(item_kinds[i + x])) != LITERAL:
                         p, q = _CORE.sub("", item_words[i + x]), _CORE.sub("", words[j + x])
-                        fill[kind, p].add(q)
-                        back[kind, q].add(p)
+                        fill[kind, p][i + x] = q
+                        back[kind, q][j + x] = p
                         differ |= p != q
-            slots = [*fill.values(), *back.values()]
-            if slots and sum(len(s) == 1 for s in slots) < AGREE * len(slots):
+            again = [len(set(s.values())) == 1 for s in [*fill.values(), *back.values()] if len(s) > 1]  # fillings used more than once
+            if again and sum(again) < AGREE * len(again):
                 continue
             out.append((self.ids[item], float(best[0]), differ))
         return sorted(out)

@@ -170,8 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int
     if not n1 or not n0:
         return model
     counts = rows.mapInArrow(_listed, "w string, toxic int").groupBy("w").agg(F.sum("toxic").cast("double").alias("y1"), F.count(F.lit(1)).cast("double").alias("n")).where(F.col("n") >= least_docs)
-    rate = F.col("n") / (n0 + n1)
-    a = rate * prior
+    a = (F.col("n") + 0.5) / (n0 + n1 + 1) * prior  # the prior's documents that hold the word: always some, never all
     odds = lambda y, n: F.log((y + a) / (n + prior - y - a))
     y0 = F.col("n") - F.col("y1")
     delta = odds(F.col("y1"), n1) - odds(y0, n0)
