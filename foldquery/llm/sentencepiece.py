@@ -88,7 +88,7 @@ class DoubleArray:
                 node = node.setdefault(c, {})
         size = 1 << 12
         base, check, value = [0] * size, [-1] * size, [-1] * size
-        check[0] = 0
+        check[0] = -2  # the root is nobody's child
         free, queue = 1, [(0, tree, b"")]
         for s, node, prefix in queue:
             if not node:
@@ -115,6 +115,7 @@ class DoubleArray:
                 t, key = b + c, prefix + bytes((c,))
                 check[t], value[t] = s, keys.get(key, -1)
                 queue.append((t, node[c], key))
+        base, check, value = (x + [f] * 256 for x, f in ((base, 0), (check, -1), (value, -1)))  # no child lies past the end
         self.base, self.check, self.value = (np.array(x, dtype=np.int32) for x in (base, check, value))
 
 
@@ -150,20 +151,45 @@ class Model:
         return cls(trie.base, trie.check, trie.value, np.array([p[1] for p in pieces]), surface, byte_ids, unknown, whole)
 
 
+#: Longer words are solved without being remembered.
+LONG = 64
+
+
+class _Words(dict):
+    """Words to their ids as bytes of int32; solves what it doesn't have, and starts anew when it has `room`."""
+
+    def __init__(self, encoder: Encoder, room: int):
+        super().__init__()
+        self.encoder, self.room = encoder, room
+        self.odd: set[str] = set()  # words that don't decode to themselves
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoder.best(word.replace(" ", MARK))
+        out = struct.pack(f"={len(ids)}i", *ids)
+        if b"".join(map(self.encoder.m.surface.__getitem__, ids)) != word.encode():
+            self.odd.add(word)
+        if len(word) <= LONG:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Encoder:
-    _WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+    _WORD = re.compile(r" *[^ \n]+| +|\n")
 
-    def __init__(self, model: Model, room: int = 150_000):
-        self.m, self.room, self.known = model, room, {}
+    def __init__(self, model: Model, room: int = 600_000):
+        self.m, self.words = model, _Words(self, room)
         self.base, self.check, self.value, self.scores = (x.tolist() for x in (model.base, model.check, model.value, model.scores))
         normal = [s for s, b in zip(self.scores, model.surface, strict=True) if b]
         self.unk = min(normal, default=0.0) - 10
+        self.longest = max((len(x) + 2 * x.count(b" ") for x in model.surface), default=1)  # a marker takes three bytes
 
     def best(self, text: str) -> list[int]:
         """Viterbi over one string; of equal paths the first found stays, as in a left-to-right scan by length."""
         data = text.encode()
         n, base, check, value, scores = len(data), self.base, self.check, self.value, self.scores
-        room, low = len(check), float("-inf")
+        low, longest = float("-inf"), self.longest
         best, back, by = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         at = 0
@@ -171,14 +197,16 @@ class Encoder:
             first = data[at]
             step = 1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4
             here, node, alone = best[at], 0, False
-            for end in range(at, n):
-                t = base[node] + data[end]
-                if t >= room or check[t] != node or t == 0:
+            to = at
+            for c in data[at : at + longest]:
+                t = base[node] + c
+                if check[t] != node:
                     break
                 node = t
+                to += 1
                 if (piece := value[t]) >= 0:
-                    to = end + 1
-                    alone = alone or to == at + step
+                    if to == at + step:
+                        alone = True
                     if (s := here + scores[piece]) > best[to]:
                         best[to], back[to], by[to] = s, at, piece
             if not alone and (s := here + self.unk) > best[at + step]:
@@ -195,23 +223,20 @@ class Encoder:
             at = start
         return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
+    def blob(self, text: str) -> tuple[bytes, bool]:
+        """The ids as bytes of int32, and whether they decode to the text. Decoding joins the words' surfaces, so a text
+        comes back if each of its words does."""
         if not text:
-            return []
-        text = (" " + text).replace(" ", MARK)
+            return b"", True
         if self.m.whole:
-            return self.best(text)
-        known, out = self.known, []
-        for word in self._WORD.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.best(word)
-                if len(word) <= 64:
-                    if len(known) >= self.room:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return out
+            ids = self.best((" " + text).replace(" ", MARK))
+            return np.array(ids, dtype=np.int32).tobytes(), self.decode(ids) == text
+        parts = self._WORD.findall(" " + text.replace(MARK, " "))
+        out = b"".join(map(self.words.__getitem__, parts))
+        return out, MARK not in text and not (self.words.odd and any(p in self.words.odd for p in parts))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.blob(text)[0], dtype=np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.m.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -225,10 +250,10 @@ def _worker(shared, names: list[str], text_col: str):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(names.index(text_col)).to_pylist()
-                ids = [encoder.encode(t) if t else [] for t in texts]
-                same = [encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=sum(map(len, ids)))
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                done = [encoder.blob(t or "") for t in texts]
+                same = [ok for _, ok in done]
+                flat = np.frombuffer(b"".join(x for x, _ in done), dtype=np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 for x, _ in done)], dtype=np.int32)
                 cols = [part.column(i) for i, n in enumerate(names) if n != text_col]
                 out = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.record_batch([*cols, out, pa.array(same)], [*(n for n in names if n != text_col), "ids", "exact"])
