@@ -79,7 +79,7 @@ def test_decontamination(spark):
     rng = random.Random(5)
     noise = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
     renamed = QUESTION.replace("Mary", "Peter").replace("120", "90").replace("2 hours", "3 hours").replace("5", "7")
-    mixed = QUESTION.replace("Mary", "Peter", 1).replace("does Mary", "does Susan")
+    mixed = QUESTION.replace("Mary", "Peter", 1).replace("does Mary", "does Susan").replace("2 hours", "2 days")
     texts = [
         noise(50) + " " + QUESTION + " " + noise(50), f"{noise(5)}. {renamed} {noise(9)}", mixed, PLAIN, PLAIN.replace("lazy", "sleepy"), " ".join(PLAIN.split()[:9]),
         noise(30_000) + " " + PLAIN.upper().lower() + " " + noise(10), None, "", "short item", noise(200), PLAIN + " " + QUESTION,
@@ -161,7 +161,7 @@ def test_same_as_the_library(encoder):
 def test_words_apart_as_whole(encoder):
     for t in TEXTS:
         whole = encoder.best((" " + t).replace(" ", sentencepiece.MARK)) if t else []
-        assert encoder.encode(t) == whole
+        assert encoder.encode(t) == whole, t
 
 
 def test_trie():
