@@ -39,6 +39,17 @@ def subsume(extents: DataFrame, id_col: str = "seq_id") -> DataFrame:
     return df.where("reach is null or reach < end").drop("reach")
 
 
+def extend(extents: DataFrame, most: int, id_col: str = "seq_id") -> DataFrame:
+    """Extents stretched to `most` residues from their start, from left to right; one whose end lies in the last stretched one is dropped.
+
+    The walk is sequential, so a sequence's extents meet in one row; their number is bounded by its length.
+    """
+    row = "named_struct('start', x.start, 'end', x.start + {0} - 1)".format(most)
+    keep = f"aggregate(e, named_struct('reach', 0, 'kept', cast(array() as array<struct<start:int,end:int>>)), (a, x) -> if(x.end <= a.reach, a, named_struct('reach', x.start + {most} - 1, 'kept', concat(a.kept, array({row})))), a -> a.kept)"
+    grouped = extents.groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("e"))
+    return grouped.select(id_col, F.explode(F.expr(keep)).alias("x")).select(id_col, "x.start", "x.end")
+
+
 def emit(sequences: DataFrame, regions: DataFrame, id_col: str = "seq_id") -> DataFrame:
     """(id, start, end) of every sequence; (0, 0) where nothing was found."""
     return sequences.select(id_col).join(regions, id_col, "left").select(id_col, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("start", "end")))

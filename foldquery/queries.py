@@ -683,3 +683,45 @@ def insert_unique(spark, d):
     keys = ["job_id", "position", "hit_string"]
     r = results_of(spark, d).select(*keys)
     return store.new_only(r, r.where("position < 10").distinct(), keys)
+
+
+@query("project_drop", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def project_drop(spark, d):
+    return collection(spark, d, "orders").drop("o_orderdate", "o_orderpriority")
+
+
+@query("array_elem_at", "SELECT o_orderkey, c_name AS first_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def array_elem_at(spark, d):
+    """The first match of a lookup that gathers matches in an array; the key is unique, so arrays have one element."""
+    side = collection(spark, d, "customer").groupBy("c_custkey").agg(F.collect_list("c_name").alias("found"))
+    jobs = collection(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return jobs.join(side, "c_custkey").where(F.size("found") > 0).select("o_orderkey", F.element_at("found", 1).alias("first_name"))
+
+
+@query("cap_hits", f"WITH {RESULTS} SELECT _id, fe FROM results ORDER BY fe, _id LIMIT 500")
+def cap_hits(spark, d):
+    """The feature is the cap."""
+    return results_of(spark, d).select("_id", "fe").orderBy("fe", "_id").limit(500)
+
+
+@query("pred_stack", f"WITH {POS}, {_helix_sql(5, 5, 4, 4)} SELECT seq_id, count(*) AS n FROM helices GROUP BY seq_id")
+def pred_stack(spark, d):
+    """How many stacks of five pairs around four residues each sequence has."""
+    return helices.enum_helices(rna_from_documents(spark, d), 5, 5, 4, 4).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("constraint_text", f"SELECT h.seq_id, h.position, substr(rna.nt, h.position + 4, 3) AS five, substr(rna.nt, h.position + 14, 3) AS three FROM ({variants_sql(*PATTERNS['search_pseudoknot'])}) h JOIN (SELECT doc_id AS seq_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'acguacguacguacguacguacguac') AS nt FROM documents) rna USING (seq_id)")
+def constraint_text(spark, d):
+    """The residues of a pseudoknot's strands."""
+    rna = rna_from_documents(spark, d)
+    hits = search(rna, PATTERNS["search_pseudoknot"]).join(rna, "seq_id")
+    strand = lambda role: F.expr(f"substring(nt, filter(constraints, s -> s.role = '{role}')[0].start, filter(constraints, s -> s.role = '{role}')[0].len)")
+    return hits.select("seq_id", "position", strand("fp").alias("five"), strand("tp").alias("three"))
+
+
+@query("roi_extend")
+def roi_extend(spark, d):
+    """The regions of a pattern, stretched from left to right."""
+    model = cssd.parse(*_ROI)
+    found = regions.seeds(rna_from_documents(spark, d), model, constraints=False)
+    return regions.extend(found, model.length()[1])

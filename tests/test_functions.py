@@ -50,3 +50,11 @@ def test_fields(spark):
     assert all(got[2][i] for i in range(3)) and got[2][3] is None
     assert all("more than" in got[3][i] for i in range(3)) and got[3][3] is False
     assert spark.range(1).select(normalize(F.lit("AC 12\ngT"))).first()[0] == "acgu"
+
+
+def test_extend(spark):
+    from foldquery.operators.regions import extend, subsume
+
+    rows = spark.createDataFrame([(1, 1, 10), (1, 4, 13), (1, 8, 22), (1, 12, 21), (2, 5, 9)], "seq_id int, start int, end int")
+    assert sorted(map(tuple, extend(rows, 15).collect())) == [(1, 1, 15), (1, 8, 22), (2, 5, 19)]
+    assert sorted(map(tuple, subsume(rows).collect())) == [(1, 1, 10), (1, 4, 13), (1, 8, 22), (2, 5, 9)]
