@@ -49,11 +49,21 @@ def text_view(text: str) -> list[float]:
     ]
 
 
+def compressed_share(text: str, step: int = 1 << 20) -> float:
+    """Compressed bytes for each byte of the whole text, which goes through the compressor in steps; 0 for an empty one."""
+    if not text:
+        return 0.0
+    data = memoryview(text.encode("utf-8", "replace"))
+    packer = zlib.compressobj(1)
+    out = sum(len(packer.compress(data[a : a + step])) for a in range(0, len(data), step))
+    return (out + len(packer.flush())) / len(data)
+
+
 def meta_view(text: str, lang: str | None, source: str | None) -> list[float]:
     """What a page's record says without reading its words: size, layout, language, source."""
     n = len(text)
     lines = text.count("\n") + 1
-    out = [1.0, np.log1p(n) / 5, np.log1p(lines) / 3, min(5.0, n / lines / 200), min(2.0, 10 * text.count("|") / max(1, n)), min(2.0, 10 * sum(text.count(c) for c in "!*#$%&") / max(1, n)), min(2.0, 4 * text.count(" ") / max(1, n)), float(n < 200), min(2.0, sum(text.count(c) for c in "ETAONE") * 10 / max(1, n)), len(zlib.compress(text.encode("utf-8", "replace")[:20_000], 1)) / max(1, min(n, 20_000)), 0.0, 0.0, 0.0, 0.0]
+    out = [1.0, np.log1p(n) / 5, np.log1p(lines) / 3, min(5.0, n / lines / 200), min(2.0, 10 * text.count("|") / max(1, n)), min(2.0, 10 * sum(text.count(c) for c in "!*#$%&") / max(1, n)), min(2.0, 4 * text.count(" ") / max(1, n)), float(n < 200), min(2.0, sum(text.count(c) for c in "ETAONE") * 10 / max(1, n)), compressed_share(text), 0.0, 0.0, 0.0, 0.0]
     places = [0.0] * (2 * BUCKETS)
     places[zlib.crc32((lang or "").encode()) % BUCKETS] = 1.0
     places[BUCKETS + zlib.crc32((source or "").encode()) % BUCKETS] = 1.0

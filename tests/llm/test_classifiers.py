@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -84,6 +85,19 @@ def test_quality(spark):
     assert quality.score(df.limit(0), model).count() == 0
 
 
+def test_compression_reads_the_whole_text():
+    rng = random.Random(6)
+    varied = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+    head = varied(4_000)  # 28 kB
+    same, other = head + " " + "spam " * 20_000, head + " " + varied(15_000)
+    assert quality.meta_view(same, "en", "s")[9] < 0.5 * quality.meta_view(other, "en", "s")[9]
+    for text in ("a", "é" * 50 + varied(300), same, other):
+        data = text.encode()
+        assert quality.meta_view(text, "en", "s")[9] == pytest.approx(len(zlib.compress(data, 1)) / len(data), rel=0.01)
+        assert quality.compressed_share(text, 1000) == pytest.approx(quality.compressed_share(text), rel=0.01)
+    assert quality.meta_view("", None, None)[9] == 0
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 3000)
