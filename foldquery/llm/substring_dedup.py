@@ -5,7 +5,8 @@ that is pasted into the middle of other lines falls into equal units from its se
 128-bit digest of their lower-cased words. Over the corpus only the smallest doc_id of each digest is gathered, with sums
 combined before the shuffle; the digests that a document has to lose then come back to it.
 A unit is a repeat if a smaller doc_id has it or it came before in the same text. Runs of adjacent repeats are cut if they
-have `run_words` words or more; a short sentence that many texts share stays where it stands alone.
+have `run_words` words or more, and a repeat that is a whole line whatever its length; a short sentence that many texts
+share stays where it stands alone inside a line. A short line of several sentences is compared as a line as well.
 """
 
 from __future__ import annotations
@@ -41,20 +42,45 @@ def units(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int
     return out
 
 
+def _lines(text: str, least_words: int) -> Iterator[list[tuple[int, int, int, str]]]:
+    """The units, line by line."""
+    line = []
+    for u in units(text, least_words):
+        line.append(u)
+        if text[u[1] - 1] == "\n":
+            yield line
+            line = []
+    if line:
+        yield line
+
+
+def _short(line: list[tuple[int, int, int, str]], run_words: int) -> str | None:
+    """A line of several units that has too few words for a run, as one unit."""
+    if len(line) == 1 or sum(u[2] for u in line) >= run_words:
+        return None
+    said = [u[3] for u in line if u[2]]
+    return " ".join(said) if len(said) > 1 else None
+
+
+def _digests(text: str, least_words: int, run_words: int) -> set[bytes]:
+    lines = [*_lines(text, least_words)]
+    return {_digest(u[3]) for line in lines for u in line if u[2]} | {_digest(s) for line in lines if (s := _short(line, run_words))}
+
+
 def _digest(unit: str) -> bytes:
     import xxhash
 
     return xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))
 
 
-def _hashed(least_words: int):
+def _hashed(least_words: int, run_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
-                found = [{_digest(u[3]) for u in units(t, least_words) if u[2]} if t else () for t in texts]
+                found = [_digests(t, least_words, run_words) if t else () for t in texts]
                 d = np.frombuffer(b"".join(x for s in found for x in s), dtype=">i8").astype(np.int64)  # hex(d1) || hex(d2) is the digest
                 owner = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in found])
                 yield pa.record_batch([pa.array(d[0::2]), pa.array(d[1::2]), pa.array(owner)], ["d1", "d2", "id"])
@@ -63,25 +89,34 @@ def _hashed(least_words: int):
 
 
 def cut(text: str, lost: set[bytes], least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """The spans to cut from one text: runs of units that are in `lost` or came before in the text."""
+    """The spans to cut from one text: runs of units that are in `lost` or came before in the text, and whole lines that are."""
     seen: set[bytes] = set()
-    spans, run, n = [], None, 0
-    for start, end, k, norm in units(text, least_words):
-        if not k:
-            repeat = None  # blank: belongs to whatever stands before
-        else:
-            d = _digest(norm)
-            repeat = d in lost or d in seen
-            seen.add(d)
-        if repeat is False:
-            if run and n >= run_words:
-                spans.append((run[0], run[1]))
-            run, n = None, 0
-        elif repeat or run:
-            run, n = (run[0] if run else start, end), n + k
-    if run and n >= run_words:
-        spans.append((run[0], run[1]))
-    return spans
+    spans, run, n, whole = [], None, 0, []
+
+    def repeated(unit: str) -> bool:
+        d = _digest(unit)
+        known = d in lost or d in seen
+        seen.add(d)
+        return known
+
+    for line in _lines(text, least_words):
+        marks = [repeated(u[3]) if u[2] else None for u in line]  # blank: belongs to whatever stands before
+        joined = _short(line, run_words)
+        lost_line = repeated(joined) if joined else [m for m in marks if m is not None] == [True]
+        if lost_line:
+            marks = [m if m is None else True for m in marks]
+        for (start, end, k, _), repeat in zip(line, marks, strict=True):
+            if repeat is False:
+                spans += [run] if run and n >= run_words else whole
+                run, n, whole = None, 0, []
+            elif repeat or run:
+                run, n = (run[0] if run else start, end), n + k
+        start, end = line[0][0], line[-1][1]
+        if whole and whole[-1][1] == start and (lost_line or not any(u[2] for u in line)):
+            whole[-1] = (whole[-1][0], end)
+        elif lost_line:
+            whole.append((start, end))
+    return spans + ([run] if run and n >= run_words else whole)
 
 
 def _cutter(names: list[str], text_col: str, least_words: int, run_words: int):
@@ -112,7 +147,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop("removed")
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    hashed = keyed.mapInArrow(_hashed(least_words), "d1 long, d2 long, id long")
+    hashed = keyed.mapInArrow(_hashed(least_words, run_words), "d1 long, d2 long, id long")
     first = hashed.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("d1", "d2"))))
     lost = hashed.join(first, ["d1", "d2"]).where("id > first").groupBy("id").agg(F.collect_list(digest).alias("_lost"))

@@ -59,6 +59,22 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup_units(df.limit(0)).count() == 0
 
 
+def test_short_lines_go(spark):
+    own = lambda i: f"here stands a line that only text {i} has, of more words than eight"
+    rows = [
+        (0, f"Alpha beta gamma.\n{own(0)}\nOne two three four. Five six.\nx y"),
+        (1, f"{own(1)}\nalpha beta gamma.\n \n\n{own('1b')}\nOne two three four. Five six.\n{own('1c')}\nX Y"),
+        (2, f"{own(2)}. One two three four. And on it goes for long after that."),  # a piece inside a line
+        (3, f"One two three four. x y\n{own(3)}"),  # both pieces are known, the line is not
+        (4, f"p q\n{own(4)}\np q\n{own('4b')}\nOne two three four.\u00a0Five six."),
+    ]
+    got = {r.doc_id: r.text for r in substring_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(rows)
+    want[1] = f"{own(1)}\n{own('1b')}\n{own('1c')}\n"
+    want[4] = f"p q\n{own(4)}\n{own('4b')}\n"
+    assert got == want
+
+
 def test_units_cover_the_text():
     for text in ("", "one", "A b c d. E f.\n\nG h i j k! L", "x" * 5000 + "\n" * 50, "a. b. c. d. e. f."):
         spans = substring_dedup.units(text)
