@@ -83,7 +83,7 @@ class ToxicModel:
         return (s or 0.0) - self.drift
 
     def token_scores(self, words: list[str]) -> np.ndarray:
-        """Of each token; a word that came before in the text speaks no second time, as training counts documents."""
+        """Of each token, wherever it stands: a word said before counts again, or a later passage would be lost."""
         known = self.known
         if len(known) > 300_000:
             known.clear()
@@ -92,13 +92,7 @@ class ToxicModel:
             if (s := known.get(w)) is None:
                 s = known[w] = self.score_of(w)
             out.append(s)
-        scores = np.array(out, dtype=np.float64)
-        said: set[str] = set()
-        for i in np.flatnonzero(scores > 0).tolist():
-            if words[i] in said:
-                scores[i] = 0.0
-            said.add(words[i])
-        return scores
+        return np.array(out, dtype=np.float64)
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Number of tokens; (first token, end, score, expected number by chance) of each segment."""

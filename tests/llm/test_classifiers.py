@@ -61,6 +61,16 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_words_said_before_score_again():
+    model = toxicity.ToxicModel({w: 4.0 for w in RUDE}, drift=1.0)
+    calm = " ".join(CALM[:100])
+    text = f"trashy {calm} mucko {calm} grumpel {calm} trashy mucko grumpel {calm} trashy so mucko and grumpel"
+    n, found = model.passages(text)
+    assert n == 411
+    assert [(a, b, s) for a, b, s, e in found if e <= model.significant] == [(303, 306, 9.0), (406, 411, 7.0)]
+    assert len(found) == 5 and model.passages("trashy " * 3)[1][0][:3] == (0, 3, 9.0)
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows, labels = [], []
