@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 #: A word: a maximal run of characters other than ASCII white space.
 WORD_BREAK = "\x20\x09\x0a\x0b\x0c\x0d"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A folder of our own only where the session names none (tests, one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _own_dir()
+    """The folder that all executors share: the session's, else the context's checkpoint folder, else on a cluster the
+    warehouse. A folder of this machine only where driver and executors are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    return _own_dir() if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
 
 
 @lru_cache(maxsize=1)
@@ -33,27 +38,45 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="foldquery-")
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries run here delete their shuffle files when they end, and not when the driver happens to collect garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, what: str = "step") -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
+    """The rows of df, written to the shared folder and read again: lineage ends here and lost executors cost nothing.
+
+    forget() deletes the table when its successor is written; what is left goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldquery-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of steps that no frame refers to any more. Spark deletes them when the driver's garbage
-    collectors find the plans unreachable, which between large steps is too late for the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes the tables of written(); frames that read them can no longer be run."""
+    for df in frames:
+        if (path := getattr(df, "written_at", None) if df is not None else None) and (spark := _written.pop(path, None)):
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def forget_written() -> None:
-    """Deletes the tables of written(); frames that read them can no longer be run."""
+    """Deletes all tables of written() that are left."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -70,16 +93,16 @@ def ascii_lower(c: Column | str) -> Column:
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPACES = str.maketrans({c: " " for c in WORD_BREAK})
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+ODD, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words(text: str) -> list[str]:
     return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _M2
-    x = (x ^ (x >> np.uint64(29))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * ODD
     return x ^ (x >> np.uint64(32))
 
 
@@ -116,7 +139,7 @@ def shingle_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     h = np.full(n, np.uint64(k), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            h = _mixed(h * _M1 + tokens[i : i + n])
+            h = mixed(h * ODD + tokens[i : i + n])
     return h
 
 
@@ -135,7 +158,9 @@ def _flat(hooks: DataFrame) -> DataFrame:
         further = hooks.alias("a").join(hooks.alias("b"), F.col("a.up") == F.col("b.id"), "left")
         step = further.select("a.id", F.coalesce("b.up", "a.up").alias("up"), F.col("b.id").isNotNull().alias("moved"))
         step = written(step, "jump")
+        forget(hooks)
         hooks = step.select("id", "up")
+        hooks.written_at = step.written_at
         if step.where("moved").isEmpty():
             return hooks
 
@@ -145,7 +170,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every root that has a smaller neighbour to the smallest of them, flattens the forest and maps the
     edges to the roots. Minima are combined before each shuffle and hub vertices meet only one row of the other side in
-    a join, which adaptive execution splits; nothing reaches the driver but whether rows remain.
+    a join, which adaptive execution splits; nothing reaches the driver but whether rows remain. Tables of earlier rounds
+    are deleted as soon as the next ones are written.
     """
     lower, upper = F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")
     left = written(edges.where(F.col("src") != F.col("dst")).select(lower, upper).distinct(), "edges")
@@ -155,12 +181,15 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.select(F.col("hi").alias("id")).union(left.select(F.col("lo").alias("id"))).distinct() if roots is None else None
         before = ends.select("id", F.col("id").alias("root")) if roots is None else roots
         h = hooks.select(F.col("id").alias("root"), "up")
-        roots = written(before.join(h, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "roots")
+        old, roots = roots, written(before.join(h, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "roots")
         up = lambda c: F.coalesce(f"{c}_up", c)
+        moved = left
         for c in ("lo", "hi"):
-            left = left.join(hooks.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")), c, "left")
-        left = left.select(up("lo").alias("a"), up("hi").alias("b")).where("a <> b")
-        left = written(left.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+            moved = moved.join(hooks.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")), c, "left")
+        moved = moved.select(up("lo").alias("a"), up("hi").alias("b")).where("a <> b")
+        before, left = left, written(moved.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        forget(old, hooks, before)
     if roots is None:
         return left.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
+    forget(left)
     return roots

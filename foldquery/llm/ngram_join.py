@@ -8,29 +8,34 @@ Method: token-combination prefixes. A document's tokens are the 64-bit numbers o
    third of the tokens and not all. A document goes on if l of its prefix tokens occur elsewhere; most don't.
 3. The whole sets of the documents that are left are counted. In the order of these counts, sets that link share k tokens
    among all but their last ceil(t n) - k. Tokens that one document alone has link nothing, however many come first.
-4. A rare token (count up to `frequent`) is a key by itself. For frequent tokens each pair of a document's frequent
-   prefix tokens is a key (k = 2). Documents too small to be sure of two, or with more than `combine` frequent prefix
-   tokens, use single frequent tokens; the others carry these as well, to meet only such documents.
-5. Buckets of equal keys are not expanded into pairs. In each round a bucket's largest component sends one leader (first
-   the one with the fewest tokens of its own, which is nearest to what its copies have in common) to the bucket's members
+4. Token classes, by these counts: a rare token (count up to `frequent`) is a key by itself; from a frequent one (up to its
+   square) every pair with a later token of the prefix is a key, from a very frequent one every triple; the prefix is
+   extended by one token for each further one of a key. Sets too small for a class, or with more than `room`
+   combinations, use its single tokens; the others carry these as well, to meet only such sets.
+5. Position. In the bucket of the first token that two sets share they share no token before it, so at most the smaller
+   number of shared tokens from there on. Near copies with many changes of their own never meet in the buckets of what all
+   copies have in common, but only in those of rarer tokens.
+6. Buckets of equal keys are not expanded into pairs. In each round a bucket's largest component sends one leader (first
+   the one with the fewest tokens below the key's class, which is nearest to what its copies have in common) to the members
    outside of it; links found join components; buckets of one component are done. After the rounds, every untried pair
-   between different components of an open bucket is verified, so no link is lost. Pairs whose sizes or numbers of tokens
-   shared with anyone rule a link out are passed over throughout.
-6. Verification intersects the two whole sets.
+   between different components of an open bucket that size and position allow is verified, so no link is lost.
+7. Verification intersects the two whole sets.
 
-Steps 2 to 5 lose nothing whatever the counts or classes of tokens are; these only decide the cost.
+Steps 2 to 6 lose nothing whatever the counts or classes of tokens are; these only decide the cost.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldquery.llm.common import WordHash, components, release, shingle_set, written
+from foldquery.llm.common import ODD, WordHash, components, forget, mixed, shingle_set, written
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -67,10 +72,11 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, tokens) to a row (tok, id) for each token."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            ids, blobs = (c.to_pylist() for c in batch.slice(at, 1000).columns)
-            sizes = np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+            part = batch.slice(at, 1000)
+            blobs = part.column(1).to_pylist()
+            owner = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
             tok = np.frombuffer(b"".join(blobs), dtype=np.int64)
-            yield pa.record_batch([pa.array(tok), pa.array(np.repeat(np.array(ids, dtype=np.int64), sizes))], ["tok", "id"])
+            yield pa.record_batch([pa.array(tok), part.column(0).take(pa.array(owner))], ["tok", "id"])
 
 
 def _linker(num: int, den: int):
@@ -88,95 +94,158 @@ def _linker(num: int, den: int):
     return link
 
 
-SCANNED = "id long, n int, d1 long, d2 long, tokens binary"
-
-
-def _counted(sets: DataFrame) -> DataFrame:
+def _counted(sets: DataFrame, kind: str) -> DataFrame:
     """(id, tokens) to (id, tok, c) of the tokens that c > 1 of the rows hold."""
-    toks = sets.select("id", "tokens").mapInArrow(_exploded, "tok long, id long")
+    toks = sets.select("id", "tokens").mapInArrow(_exploded, f"tok long, id {kind}")
     return toks.join(toks.groupBy("tok").agg(F.count(F.lit(1)).cast("int").alias("c")).where("c > 1"), "tok")
 
 
-def _keys(shared: DataFrame, num: int, den: int, frequent: int, combine: int) -> DataFrame:
-    """shared (id, n, tok, c) to bucket rows (key, lone, id, n, s); s: tokens of the set that others hold too.
+def classes_of(counts: np.ndarray, frequent: int) -> tuple[int, int]:
+    """Where the frequent and the very frequent tokens of an ascending row of counts begin."""
+    return int(np.searchsorted(counts, frequent, "right")), int(np.searchsorted(counts, frequent * frequent, "right"))
+
+
+def combinations(counts: np.ndarray, n: int, num: int, den: int, frequent: int, room: int) -> list[tuple[tuple[int, ...], int, bool]]:
+    """The keys of a set of n whose shared tokens have these ascending counts: (places of its tokens, class, lone).
 
-    A pair counts in a bucket with a frequent single token only if a row there is lone.
+    The first token that two linked sets share stands among the first s - m + 1 of either, the k-th among s - m + k (s shared
+    tokens, m = least_overlap). A rare first token is a key alone; from a frequent one pairs go out, from a very frequent one
+    triples. A class whose combinations would be more than `room`, or that m doesn't fill, is lone: its single tokens are
+    keys. Sets that aren't lone have these too, to meet the lone ones only.
     """
-    doc = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
-    doc = doc.withColumn("m", F.ceil(F.col("n") * num / den).cast("int")).withColumn("s", F.size("toks")).withColumn("r", F.col("s") - F.col("m") + F.least(F.col("m"), F.lit(2))).where("s >= m and r > 0")
-    doc = doc.withColumn("toks", F.expr("slice(toks, 1, r)"))
-    doc = doc.select("id", "n", "m", "s", F.expr(f"transform(filter(toks, x -> x.c <= {frequent}), x -> x.tok)").alias("rare"), F.expr(f"transform(filter(toks, x -> x.c > {frequent}), x -> x.tok)").alias("often"))
-    doc = doc.withColumn("lone", (F.col("m") < 2) | (F.size("often") > combine))
-    pairs = "flatten(transform(often, (x, i) -> transform(slice(often, i + 2, greatest(size(often) - i - 1, 0)), y -> named_struct('key', xxhash64(least(x, y), greatest(x, y)), 'kind', 2))))"
-    singles = "concat(transform(rare, x -> named_struct('key', x, 'kind', 0)), transform(often, x -> named_struct('key', x, 'kind', 1)))"
-    rows = doc.select("id", "n", "s", "lone", F.explode(F.expr(f"concat({singles}, if(lone, array(), {pairs}))")).alias("k"))
-    rows = rows.select(F.xxhash64("k.key", "k.kind").alias("key"), (F.col("lone") | (F.col("k.kind") != 1)).alias("lone"), "id", "n", "s").distinct()
-    alive = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.max("lone").alias("any")).where("g > 1 and any").select("key")
-    return rows.join(alive, "key")
+    s, m = len(counts), least_overlap(n, num, den)
+    if s < m or not s:
+        return []
+    edges = (0, *classes_of(counts, frequent), s)
+    out = []
+    for k in (1, 2, 3):
+        first, last = edges[k - 1], min(edges[k], s - m + 1)
+        if first >= last:
+            continue
+        if k == 1:
+            out += [((i,), 0, True) for i in range(first, last)]
+            continue
+        ends = s - m + k
+        lone = m < k or sum(comb(ends - i - 1, k - 1) for i in range(first, last)) > room
+        out += [((i,), 1, lone) for i in range(first, last)]
+        if not lone:
+            out += [((i, *rest), k, True) for i in range(first, last) for rest in itertools.combinations(range(i + 1, ends), k - 1)]
+    return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100, share: int = 10, frequent: int = 32, combine: int = 12, rounds: int = 3) -> DataFrame:
+def _keyed(num: int, den: int, frequent: int, room: int):
+    """(id, n, tokens with their counts, ascending) to bucket rows (key, lone, id, n, rest, own).
+
+    rest: how many of the set's shared tokens stand at the key's first one or later. In the bucket of the first token that
+    two sets share they can't share more than the smaller rest. own: how many tokens are below the first one's class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                key, lone, owner, rest, alone = [], [], [], [], []
+                for row, (n, toks, counts) in enumerate(zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                    t = np.array(toks, dtype=np.int64).view(np.uint64)
+                    found = combinations(c := np.array(counts), n, num, den, frequent, room)
+                    edges = np.array([0, *classes_of(c, frequent)])
+                    for size in (1, 2, 3):
+                        own = [f for f in found if len(f[0]) == size]
+                        if own:
+                            places = np.array([f[0] for f in own])
+                            h = np.array([f[1] for f in own], dtype=np.uint64)
+                            with np.errstate(over="ignore"):
+                                for j in range(size):
+                                    h = mixed(h * ODD + t[places[:, j]])
+                            key.append(h)
+                            lone += [f[2] for f in own]
+                            owner += [row] * len(own)
+                            rest.append(len(t) - places[:, 0])
+                            alone.append(n - len(t) + edges[np.searchsorted(edges, places[:, 0], "right") - 1])
+                if not key:
+                    continue
+                owner = pa.array(owner)
+                columns = [pa.array(np.concatenate(key).view(np.int64)), pa.array(lone), part.column(0).take(owner), part.column(1).take(owner), *(pa.array(np.concatenate(x).astype(np.int32)) for x in (rest, alone))]
+                yield pa.record_batch(columns, ["key", "lone", "id", "n", "rest", "own"])
+
+    return run
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100, share: int = 10, frequent: int = 32, room: int = 220, rounds: int = 3, tell=None) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (smallest id reachable by links with 100 * both >= t * union).
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a text of fewer than `ngram` words is
-    one shingle; null or blank texts have none and link with nothing. Rows that share an id count as one document with
-    several texts. A row whose id is null links with nothing and has a null component. Any other columns are ignored;
-    an empty table gives no rows. share: percent of a set by which its prefix is extended (cost only).
+    one shingle; null or blank texts have none and link with nothing. Ids are of any ordered type. Rows that share an id count
+    as one document with several texts. A row whose id is null links with nothing and has a null component. Any other
+    columns are ignored; an empty table gives no rows; ties don't arise, as links have no order.
+    share: percent of a set by which its prefix is extended; frequent, room, rounds: as in the module's text (cost only).
+    tell: called with (round, pairs to verify), for tests.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = written(source.mapInArrow(_scanner(ngram, num, den, share, False), SCANNED), "prefixes")
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {kind}, n int, d1 long, d2 long, tokens binary"
+    scanned = written(source.mapInArrow(_scanner(ngram, num, den, share, False), schema), "prefixes")
     nodes = scanned.where("id is not null and n > 0")
     classes = written(nodes.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id"), "n")
 
     m = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / den) * share / 100))
-    active = written(_counted(nodes).groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(reps, "id").where(F.col("s") >= m).select("id"), "active")
-    release(spark)
-    sets = source.join(active, "id", "left_semi").mapInArrow(_scanner(ngram, num, den, share, True), SCANNED)
+    active = written(_counted(nodes, kind).groupBy("id").agg(F.count(F.lit(1)).alias("s")).join(reps, "id").where(F.col("s") >= m).select("id"), "active")
+    sets = source.join(active, "id", "left_semi").mapInArrow(_scanner(ngram, num, den, share, True), schema)
     sets = written(sets.join(reps, ["id", "n"], "left_semi").select("id", "n", "tokens"), "sets")
-    release(spark)
-    shared = _counted(sets).join(sets.select("id", "n"), "id").select("id", "n", "tok", "c")
-    buckets = written(_keys(shared, num, den, frequent, combine), "buckets")
-    del shared
-    release(spark)
+    forget(active)
+    shared = _counted(sets, kind).join(sets.select("id", "n"), "id")
+    doc = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("t")).select("id", "n", F.col("t.tok").alias("toks"), F.col("t.c").alias("counts"))
+    rows = written(doc.mapInArrow(_keyed(num, den, frequent, room), f"key long, lone boolean, id {kind}, n int, rest int, own int"), "keys")
+    alive = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.max("lone").alias("any")).where("g > 1 and any").select("key")
+    buckets = written(rows.join(alive, "key"), "buckets")
+    forget(rows)
 
     def links(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-        return both.mapInArrow(_linker(num, den), "src long, dst long")
+        return both.mapInArrow(_linker(num, den), f"src {kind}, dst {kind}")
 
-    most = F.least("a_n", "b_n", "a_s", "b_s")  # of what the two can share
-    near = most * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
+    near = F.least("a_n", "b_n", "a_rest", "b_rest") * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
     pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     comp = written(buckets.select("id", F.col("id").alias("root")).distinct(), "roots")
-    tried = None
+    tried = []
     for r in range(rounds + 1):
         placed = buckets.join(comp, "id")
-        first = F.xxhash64("id", F.lit(r)) if r else ((F.col("n") - F.col("s")) * 10_000 / F.col("n")).cast("long")
-        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(first.alias("o"), "id", "n", "s", "lone")).alias("lead"))
-        main = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("g", F.expr("-root").alias("o"), "root", "lead")).alias("main")).where("k > 1")
+        first = F.xxhash64("id", F.lit(r)) if r else (F.col("own") * 10_000 / F.col("n")).cast("long")
+        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(first.alias("o"), "id", "n", "rest", "lone")).alias("lead"))
+        main = groups.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("g", F.bitwise_not("lead.o").alias("o"), "root", "lead")).alias("main")).where("k > 1")
         if r < rounds:
-            main = main.select("key", F.col("main.root").alias("top"), F.col("main.lead.id").alias("a"), F.col("main.lead.n").alias("a_n"), F.col("main.lead.s").alias("a_s"), F.col("main.lead.lone").alias("a_lone"))
-            found = placed.withColumnsRenamed({"id": "b", "n": "b_n", "s": "b_s", "lone": "b_lone"}).join(main, "key").where(F.col("root") != F.col("top"))
+            main = main.select("key", F.col("main.root").alias("top"), F.col("main.lead.id").alias("a"), F.col("main.lead.n").alias("a_n"), F.col("main.lead.rest").alias("a_rest"), F.col("main.lead.lone").alias("a_lone"))
+            found = placed.withColumnsRenamed({"id": "b", "n": "b_n", "rest": "b_rest", "lone": "b_lone"}).join(main, "key").where(F.col("root") != F.col("top"))
         else:
-            open_ = written(placed.join(main.select("key", F.col("main.root").alias("top")), "key"), "open")
-            out = open_.where("root <> top").select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("s").alias("a_s"), F.col("lone").alias("a_lone"), F.col("root").alias("a_root"))
-            inn = open_.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("s").alias("b_s"), F.col("lone").alias("b_lone"), "root", "top")
+            open_ = placed.join(main.select("key", F.col("main.root").alias("top")), "key")
+            open_ = written(open_, "open")
+            # of all rows in the bucket the one that leaves an outsider the most room: without a chance there, it has none
+            most = open_.groupBy("key").agg(F.max("rest").alias("most"), F.min("n").alias("least"))
+            chance = F.least("rest", "most", "n") * (num + den) >= (F.col("n") + F.greatest("least", F.ceil(F.col("n") * num / den))) * num
+            out = open_.where("root <> top").join(most, "key").where(chance).select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("rest").alias("a_rest"), F.col("lone").alias("a_lone"), F.col("root").alias("a_root"))
+            inn = open_.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"), F.col("lone").alias("b_lone"), "root", "top")
             found = out.join(inn, "key").where((F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("top")) | (F.col("a") < F.col("b"))))
         pairs = pair(found.where(near & (F.col("a_lone") | F.col("b_lone")) & (F.col("a") != F.col("b"))))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        if r == rounds:
+            forget(open_)
+        if tell:
+            tell(r, pairs.count())
         if pairs.isEmpty():
             continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = links(pairs)
+        tried.append(pairs)
+        linked = written(links(pairs), "links")
         at = lambda c: comp.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
         edges = linked.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))
-        moved = components(edges).select(F.col("id").alias("root"), F.col("root").alias("new"))
-        comp = written(comp.join(moved, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "roots")
+        moved = components(edges)
+        old, comp = comp, written(comp.join(moved.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root")), "roots")
+        forget(old, linked, moved)
+    forget(sets, buckets, *tried)
 
     shared_id = classes.join(comp.withColumnsRenamed({"id": "rep"}), "rep", "left").select("d1", "d2", F.col("n").alias("n_"), F.coalesce("root", "rep").alias("root"))
     out = scanned.select("id", "n", "d1", "d2")
@@ -185,7 +254,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id. Rows with a null doc_id stay."""
+    """docs without the rows whose component has a smaller doc_id.
+
+    Of rows that repeat a kept doc_id all stay: they are one document. Rows with a null doc_id and rows without words stay.
+    """
     gone = jaccard_components(docs, ngram=ngram, num=num, den=den).where("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti")
 

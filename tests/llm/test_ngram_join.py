@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foldquery.llm import common
 from foldquery.llm.common import components, words
 from foldquery.llm.ngram_join import jaccard_components, keep_one
 
@@ -42,7 +43,7 @@ def near_copies(rng, n, length, edits):
     return out
 
 
-@pytest.mark.parametrize(("k", "num", "options"), [(3, 90, {}), (5, 80, {}), (3, 90, {"frequent": 2, "combine": 4}), (2, 60, {"frequent": 3, "combine": 2, "rounds": 1})])
+@pytest.mark.parametrize(("k", "num", "options"), [(3, 90, {}), (5, 80, {}), (3, 90, {"frequent": 2, "room": 6}), (2, 60, {"frequent": 3, "room": 300, "rounds": 1}), (3, 90, {"frequent": 1, "room": 5000, "rounds": 0})])
 def test_brute_force(spark, k, num, options):
     rng = random.Random(k)
     texts = near_copies(rng, 60, 80, 6) + near_copies(rng, 30, 25, 3) + near_copies(rng, 30, 200, 12)
@@ -62,6 +63,38 @@ def test_odd_rows(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_hot_group(spark):
+    """2,000 copies of one text with up to 24 changes, so about half of them lie beyond the threshold from the text itself:
+    the pairs that are verified grow with the group, not with its square."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(rng.randrange(25)):
+            w[rng.randrange(150)] = f"x{rng.randrange(60)}"
+        texts.append(" ".join(w))
+    rows, seen = list(enumerate(texts)), []
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), ngram=3, num=90, tell=lambda r, n: seen.append(n)).collect()
+    assert sorted(map(tuple, got)) == brute_force(rows, 3, 90, 100)
+    assert sum(seen) < 20 * len(rows)
+
+
+def test_string_ids(spark):
+    rows = [("b", "p q r s t"), ("a", "p q r s t"), ("c", "p q r s t u v"), (None, "p q")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id string, text string"), ngram=3, num=50).collect()
+    assert sorted(((r.id, r.component_id) for r in got), key=str) == sorted([("a", "a"), ("b", "a"), ("c", "a"), (None, None)], key=str)
+
+
+def test_steps_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    rows = [(i, " ".join(f"w{i // 5}{k}" for k in range(30)) + f" {i % 2}") for i in range(50)]
+    jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), ngram=3, num=60).collect()
+    assert len(list(tmp_path.iterdir())) == 3  # what the result itself reads
+    common.forget_written()
+    assert not list(tmp_path.iterdir())
+
+
 def test_long_text(spark):
     rng = random.Random(0)
     w = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
