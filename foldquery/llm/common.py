@@ -190,6 +190,8 @@ def components(edges: DataFrame) -> DataFrame:
         before, left = left, written(moved.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
         forget(old, hooks, before)
     if roots is None:
-        return left.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
+        none = left.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
+        none.written_at = left.written_at
+        return none
     forget(left)
     return roots

@@ -236,9 +236,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             forget(open_)
         if tell:
             tell(r, pairs.count())
+        tried.append(pairs)
         if pairs.isEmpty():
             continue
-        tried.append(pairs)
         linked = written(links(pairs), "links")
         at = lambda c: comp.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
         edges = linked.join(at("src"), "src").join(at("dst"), "dst").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst"))
