@@ -84,6 +84,14 @@ def forget_written() -> None:
             return
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, lengthened until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Lower-cases A-Z only, whatever the locale."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,20 +1,28 @@
 """Benchmark decontamination by template windows.
 
-Numbers, names (capitalised words inside a sentence) and units of measure become typed placeholders. Windows of five
-template words of the benchmark are a hash table; every window of every document is looked up in it. Hits of one item are
-gathered where document and item run side by side, and the item counts as present if the hits cover 80 % of its words there
-and the placeholders' fillings agree: of the fillings that come more than once, 80 % stand for one and the same on the other side. So a question whose
-numbers or names were exchanged is found, and a text that shares only a frame with other fillings in disorder is not.
-
-The benchmark goes to the workers in blocks of at most `block` windows, one after the other over the documents, so memory
-is bounded however large it is. Documents are not shuffled.
+Numbers, names and units of measure become typed placeholders. A capitalised word inside a sentence is a name; one that
+begins a sentence may be, so every text is read twice: it is a word in the first reading, a name in the second. Windows
+of five template words that hold two literal ones are keys in either reading; windows of little but placeholders are keys
+by their very words, so a row of numbers or names is found where it is copied.
+
+1. The benchmark's keys make a table (key, item).
+2. Every window of every text is looked up in a bit table of that table, whose size is a parameter; the texts' keys that
+   may be there are joined with it by hash. Only counts of common keys by text and item go on.
+3. Pairs of text and item with enough of them are verified word by word: hits that run side by side in both must cover 80 %
+   of the item, and the placeholders' fillings must agree: of the fillings that come more than once, 80 % stand for one
+   and the same on the other side. Each run of hits that covers enough is tried. An item under five words counts only where
+   it is a whole sentence or line, word for word.
+
+Equal texts are looked up once for each copy but verified by their digest's rows; nothing of the corpus reaches the driver,
+and of the benchmark only the bit table does.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldquery.llm.common import shingle_hashes, table
+from foldquery.llm.common import forget, shingle_hashes, table, unused, written
 
 WINDOW, COVER, AGREE = 5, 0.8, 0.8
 _CORE = re.compile(r"^\W+|\W+$")
@@ -32,6 +40,7 @@ _JOINED = re.compile(r"([+-]?\d[\d.,]*)([a-z%°]+)$")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
 UNIT_WORDS = frozenset("m cm mm km kilometer kilometers kilometre kilometres meter meters metre metres mile miles foot feet inch inches yard yards g kg mg gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent kmh mph degree degrees celsius fahrenheit joule joules watt watts volt volts % °".split())
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+_PLAIN = np.uint64(0x5555555555555555)  # keeps keys of very words apart from those of templates
 _SLOT = {NUMBER: "\x00number", NAME: "\x00name", UNIT: "\x00unit"}
 
 
@@ -47,8 +56,39 @@ def _kind(word: str) -> tuple[str, int, bool, bool]:
     return low, LITERAL, core[:1].isupper(), end
 
 
+@dataclass
+class Reading:
+    """A text's words, their numbers in three readings, their kinds in the first two, and which begin a sentence or line."""
+
+    words: list[str]
+    first: np.ndarray
+    second: np.ndarray
+    plain: np.ndarray
+    kinds: np.ndarray
+    names: np.ndarray
+    starts: np.ndarray
+
+    def keys(self, k: int) -> list[np.ndarray]:
+        """For each reading the keys of all windows of k words; 0 where the reading has none."""
+        n = len(self.words) - k + 1
+        if n < 1:
+            return []
+        if k < WINDOW:
+            return [shingle_hashes(self.plain, k) ^ _PLAIN]
+        here = np.concatenate([[0], np.cumsum(self.names == LITERAL)])
+        literal = here[k:] - here[:-k]
+        a, b = shingle_hashes(self.first, k), shingle_hashes(self.second, k)
+        at = np.concatenate([[0], np.cumsum(self.kinds == LITERAL)])
+        a[at[k:] - at[:-k] < 2] = 0
+        b[literal < 2] = 0
+        out = [a, np.where(a == b, np.uint64(0), b)]
+        if (bare := literal < 2).any():
+            out.append(np.where(bare, shingle_hashes(self.plain, k) ^ _PLAIN, np.uint64(0)))
+        return out
+
+
 class Templates:
-    """Texts to template words as 64-bit numbers, with the kind of each. Remembers a bounded number of words."""
+    """Texts to readings. Remembers a bounded number of words."""
 
     def __init__(self, room: int = 300_000):
         import xxhash
@@ -59,162 +99,210 @@ class Templates:
 
     def _start(self) -> None:
         self.at: dict[str, int] = {}
-        self.hashes, self.flags = np.zeros(self.room + 1, np.uint64), np.zeros(self.room + 1, np.uint8)
+        self.hashes, self.plain, self.flags = np.zeros(self.room + 1, np.uint64), np.zeros(self.room + 1, np.uint64), np.zeros(self.room + 1, np.uint8)
 
     def _add(self, word: str) -> int:
         i = self.at[word] = len(self.at)
         form, kind, capital, end = _kind(word)
         self.hashes[i], self.flags[i] = self.number(form), kind | capital << 2 | end << 3
+        self.plain[i] = self.hashes[i] if kind == LITERAL else self.number(core(word))
         return i
 
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(words, hashes, kinds)"""
+    def __call__(self, text: str) -> Reading:
         words = text.split()
         if len(self.at) + 1 >= self.room:
             self._start()
-        out_h, out_f = [], []
+        found: list[list[np.ndarray]] = [[np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint8)]]
         for a in range(0, len(words), 100_000):
             part = words[a : a + 100_000]
             if len(self.at) + len(part) >= self.room:
                 self._start()
             at = self.at
             idx = np.array([i if (i := at.get(w)) is not None else self._add(w) for w in part], dtype=np.int64)
-            out_h.append(self.hashes[idx])
-            out_f.append(self.flags[idx])
-        if not out_h:
-            return words, np.empty(0, np.uint64), np.empty(0, np.uint8)
-        h, f = np.concatenate(out_h), np.concatenate(out_f)
+            found.append([self.hashes[idx], self.plain[idx], self.flags[idx]])
+        h, plain, f = (np.concatenate(x) for x in zip(*found, strict=True))
         kinds = f & 3
-        inside = np.ones(len(f), bool)
-        inside[0] = False
-        inside[1:] = (f[:-1] & 8) == 0
-        named = ((f & 4) > 0) & inside & (kinds == LITERAL)
-        return words, np.where(named, self.name, h), np.where(named, NAME, kinds)
-
-
-class Block:
-    """Some items of the benchmark: their windows by hash, and a bit table that lets most windows of a text pass at once."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        read = Templates()
-        self.items, self.ids = [], []
-        where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.widths: set[int] = set()
-        for item_id, text in items:
-            words, h, kinds = read(text)
-            if not len(h):
-                continue
-            k = min(WINDOW, len(h))
-            literal = np.convolve(kinds == LITERAL, np.ones(k, int), "valid")
-            for i, (w, n) in enumerate(zip(shingle_hashes(h, k).tolist(), literal.tolist(), strict=True)):
-                if 5 * n >= 2 * k:  # windows of little but placeholders say nothing
-                    where[w].append((len(self.items), i))
-                    self.widths.add(k)
-            self.ids.append(item_id)
-            self.items.append((words, kinds))
-        self.where = dict(where)
-        self.mask = np.uint64((1 << max(16, len(where).bit_length() + 4)) - 1)
-        self.bits = np.zeros(int(self.mask) + 1, bool)
-        if where:
-            self.bits[np.fromiter(where, np.uint64, len(where)) & self.mask] = True
-
-    def find(self, text: str, read: Templates) -> list[tuple[int, float, bool]]:
-        """(item, share of its words that is covered, fillings differ) of each item that the text holds."""
-        words, h, kinds = read(text)
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k in self.widths:
-            if len(h) < k:
-                continue
-            w = shingle_hashes(h, k)
-            for j in np.flatnonzero(self.bits[w & self.mask]).tolist():
-                for item, i in self.where.get(int(w[j]), ()):
-                    if min(WINDOW, len(self.items[item][0])) == k:
-                        hits[item].append((j - i, i, j))
-        out = []
-        for item, found in hits.items():
-            item_words, item_kinds = self.items[item]
-            n = len(item_words)
+        starts = np.ones(len(f), bool)
+        starts[1:] = (f[:-1] & 8) > 0
+        capital = ((f & 4) > 0) & (kinds == LITERAL)
+        named = capital & ~starts
+        return Reading(words, np.where(named, self.name, h), np.where(capital, self.name, h), plain, np.where(named, NAME, kinds), np.where(capital, NAME, kinds), starts)
+
+
+def core(word: str) -> str:
+    return (_CORE.sub("", word) or word).lower()
+
+
+def _sentences(text: str) -> list[tuple[str, ...]]:
+    """The sentences of each line, as words without marks."""
+    out: list[tuple[str, ...]] = []
+    for line in text.splitlines():
+        now: list[str] = []
+        for word in line.split():
+            now.append(core(word))
+            if _kind(word)[3]:
+                out.append(tuple(now))
+                now = []
+        if now:
+            out.append(tuple(now))
+    return out
+
+
+def compare(text: Reading, item: Reading) -> tuple[float, bool] | None:
+    """(share of the item's words that the text covers, fillings differ) of the best run of hits that holds; None without."""
+    n, k = len(item.words), WINDOW
+    where: dict[int, set[int]] = defaultdict(set)
+    for keys in item.keys(k):
+        for i, w in enumerate(keys.tolist()):
+            if w:
+                where[w].add(i)
+    wanted = np.fromiter(where, np.uint64, len(where))
+    hits: set[tuple[int, int, int]] = set()
+    for keys in text.keys(k):
+        for j in np.flatnonzero(np.isin(keys, wanted)).tolist():
+            hits |= {(j - i, i, j) for i in where[int(keys[j])]}
+    found = sorted(hits)
+    slack, a = n // 8 + 2, 0
+    best: tuple[float, bool] | None = None
+    for b in range(len(found)):
+        while found[b][0] - found[a][0] > slack:
+            a += 1
+        if (b - a + 1) * k < COVER * n or b + 1 < len(found) and found[b + 1][0] - found[a][0] <= slack:
+            continue
+        run = found[a : b + 1]
+        covered = np.zeros(n, bool)
+        for _, i, _ in run:
+            covered[i : i + k] = True
+        share = float(covered.mean())
+        if share >= COVER and (best is None or share > best[0]) and (agreed := _fillings(text, item, run)) is not None:
+            best = share, agreed
+    return best
+
+
+def _fillings(text: Reading, item: Reading, run: list[tuple[int, int, int]]) -> bool | None:
+    """Do the fillings of the run's placeholders differ from the item's? None if they contradict each other."""
+    fill: dict[tuple[int, str], dict[int, str]] = defaultdict(dict)
+    back: dict[tuple[int, str], dict[int, str]] = defaultdict(dict)
+    differ = False
+    for _, i, j in run:
+        for x in range(WINDOW):
+            if (kind := int(item.names[i + x])) != LITERAL:
+                p, q = _CORE.sub("", item.words[i + x]), _CORE.sub("", text.words[j + x])
+                fill[kind, p][i + x] = q
+                back[kind, q][j + x] = p
+                differ |= p != q
+    again = [len(set(s.values())) == 1 for s in [*fill.values(), *back.values()] if len(s) > 1]  # fillings used more than once
+    return None if again and sum(again) < AGREE * len(again) else differ
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (item, text) to (w, item, k, n, times): keys, the words of a window and of the item, how often the key comes in it."""
+    read = Templates()
+    for batch in batches:
+        items, texts = (c.to_pylist() for c in batch.columns)
+        rows = []
+        for item, text in zip(items, texts, strict=True):
+            r = read(text)
+            n = len(r.words)
             k = min(WINDOW, n)
-            if len(found) * k < COVER * n:
-                continue
-            found.sort()
-            slack, a = n // 8 + 2, 0
-            best: tuple[float, list] = (0.0, [])
-            for b in range(len(found)):
-                while found[b][0] - found[a][0] > slack:
-                    a += 1
-                if (b - a + 1) * k < COVER * n or b + 1 < len(found) and found[b + 1][0] - found[a][0] <= slack:
-                    continue
-                covered = np.zeros(n, bool)
-                for _, i, _ in found[a : b + 1]:
-                    covered[i : i + k] = True
-                if (share := covered.mean()) > best[0]:
-                    best = (share, found[a : b + 1])
-            if best[0] < COVER:
-                continue
-            fill: dict[tuple[int, str], dict[int, str]] = defaultdict(dict)
-            back: dict[tuple[int, str], dict[int, str]] = defaultdict(dict)
-            differ = False
-            for _, i, j in best[1]:
-                for x in range(k):
-                    if (kind := int(item_kinds[i + x])) != LITERAL:
-                        p, q = _CORE.sub("", item_words[i + x]), _CORE.sub("", words[j + x])
-                        fill[kind, p][i + x] = q
-                        back[kind, q][j + x] = p
-                        differ |= p != q
-            again = [len(set(s.values())) == 1 for s in [*fill.values(), *back.values()] if len(s) > 1]  # fillings used more than once
-            if again and sum(again) < AGREE * len(again):
-                continue
-            out.append((self.ids[item], float(best[0]), differ))
-        return sorted(out)
-
-
-FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("cover", T.DoubleType()), T.StructField("refilled", T.BooleanType())]))
-_FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("cover", pa.float64()), ("refilled", pa.bool_())]))
-
-
-def _finder(shared, names: list[str], text_col: str):
+            if n:
+                rows += [(w, item, k, n, c) for w, c in Counter(w for keys in r.keys(k) for w in keys.view(np.int64).tolist() if w).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["w", "item", "k", "n", "times"])
+
+
+def _slot(w: np.ndarray, bits: int) -> np.ndarray:
+    return w & np.uint64((1 << bits) - 1)
+
+
+def _looked_up(shared, widths: list[int], bits: int):
+    """Texts (k1, k2, text) to (k1, k2, w): the distinct keys of a text that may be the benchmark's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, read = shared.value, Templates()
+        there, read = np.frombuffer(shared.value, np.uint8), Templates()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                before = part.column(len(names)).to_pylist()
-                found = [[{"item_id": i, "cover": c, "refilled": r} for i, c, r in block.find(t, read)] if t else [] for t in part.column(names.index(text_col)).to_pylist()]
-                yield pa.record_batch([*part.columns[:-1], pa.array([a + b for a, b in zip(before, found, strict=True)], _FOUND)], [*names, "found"])
+                found = []
+                for text in part.column(2).to_pylist():
+                    r, own = read(text), []
+                    for k in widths:
+                        for keys in r.keys(k):
+                            s = _slot(keys, bits)
+                            own.append(keys[(there[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 > 0])
+                    w = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
+                    found.append(w[w != 0])
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
+                yield pa.record_batch([part.column(0).take(owner), part.column(1).take(owner), pa.array(np.concatenate(found).view(np.int64))], ["k1", "k2", "w"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, block: int) -> Iterator[Block]:
-    items, n = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
-    for item_id, text in rows.toLocalIterator():
-        items.append((item_id, text))
-        n += len(text.split())
-        if n >= block:
-            yield Block(items)
-            items, n = [], 0
-    if items:
-        yield Block(items)
-
-
-def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = 500_000) -> DataFrame:
-    """docs with a column `found`: array of (item_id, cover, refilled) of the benchmark items that the text holds.
-
-    Null or blank texts hold nothing; items without an id or words are left out; items shorter than five words are matched
-    as one window. Equal items are all reported. With an empty benchmark nothing is found; an empty table gives no rows.
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (k1, k2, text, item_id, item_text) to (k1, k2, item_id, cover, refilled) of those that hold."""
+    read = Templates()
+    last: tuple[str, Reading | None] = ("", None)
+    for batch in batches:
+        keep, cover, differ = [], [], []
+        for row, (text, item) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            wanted = read(item)
+            if len(wanted.words) < WINDOW:
+                got = (1.0, False) if tuple(map(core, wanted.words)) in _sentences(text) else None
+            else:
+                if last[1] is None or last[0] != text:
+                    last = text, read(text)
+                got = compare(last[1], wanted)
+            if got:
+                keep.append(row)
+                cover.append(got[0])
+                differ.append(got[1])
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([*(batch.column(i).take(at) for i in (0, 1, 3)), pa.array(cover, pa.float64()), pa.array(differ, pa.bool_())], ["k1", "k2", "item_id", "cover", "refilled"])
+
+
+def _bit_table(windows: DataFrame, bits: int) -> bytes:
+    """One bit for each key modulo 2 ** bits. At most 2 ** (bits - 6) rows come to the driver, whatever the benchmark's size."""
+    slot = f"(w & {(1 << bits) - 1}L)"
+    words = windows.groupBy(F.expr(f"shiftright({slot}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 64 as int)))").alias("x")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("x").to_numpy()
+    return out.tobytes()
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bits: int = 26) -> DataFrame:
+    """docs with a column `found`: array of (item_id, cover, refilled) of the benchmark items that the text holds, by id.
+
+    Null or blank texts hold nothing; items without an id or words are left out; items shorter than five words must be a
+    whole sentence or line. Equal items and repeated rows are all reported; of runs that cover equally much the first holds.
+    With an empty benchmark nothing is found; an empty table gives no rows. Other columns stay, whatever their names, but a
+    column `found` is replaced. bits: of the bit table (8 MB); with fewer more keys are joined, with the same result.
     """
-    docs = docs.drop("found")
-    schema = T.StructType([*docs.schema.fields, T.StructField("found", FOUND)])
-    out = docs.withColumn("found", F.array().cast(FOUND))
-    for b in _blocks(benchmark, block):
-        out = out.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(b), docs.columns, text_col), schema)
-    return out
+    spark, docs = docs.sparkSession, docs.drop("found")
+    id_type = benchmark.schema["item_id"].dataType
+    found_type = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("cover", T.DoubleType()), T.StructField("refilled", T.BooleanType())]))
+    items = benchmark.select("item_id", F.col("text").alias("item_text")).where("item_id is not null and item_text is not null").distinct().withColumn("item", F.xxhash64("item_id", "item_text"))
+    windows = written(items.select("item", "item_text").mapInArrow(_windows, "w long, item long, k int, n int, times int"), "windows")
+    widths = sorted(r.k for r in windows.select("k").distinct().collect())  # 1 to 5
+    if not widths:
+        forget(windows)
+        return docs.withColumn("found", F.array().cast(found_type))
+    shared = spark.sparkContext.broadcast(_bit_table(windows, bits))
+    keyed = docs.select(F.xxhash64(text_col).alias("k1"), F.xxhash64(text_col, F.lit(1)).alias("k2"), F.col(text_col).alias("text")).where("text is not null")
+    keys = keyed.mapInArrow(_looked_up(shared, widths, bits), "k1 long, k2 long, w long")
+    common = keys.join(windows, "w").groupBy("k1", "k2", "item", "k", "n").agg(F.sum("times").alias("hits")).where(F.col("hits") * F.col("k") >= F.col("n") * COVER)
+    pairs = written(common.select("k1", "k2", "item"), "candidates")
+    texts = keyed.join(pairs.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    both = texts.join(pairs, ["k1", "k2"]).join(items, "item").select("k1", "k2", "text", "item_id", "item_text")
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), *found_type.elementType.fields])
+    held = written(both.mapInArrow(_verified, schema).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("item_id", "cover", "refilled"))).alias("found")), "found")
+    forget(windows, pairs)
+    k1, k2 = unused("_k1", docs.columns), unused("_k2", docs.columns)
+    held = held.withColumnsRenamed({"k1": k1, "k2": k2})
+    out = docs.withColumns({k1: F.xxhash64(text_col), k2: F.xxhash64(text_col, F.lit(1))}).join(held, [k1, k2], "left")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("found", F.array().cast(found_type)).alias("found"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark item."""
+    """docs without the rows that hold a benchmark item; rows and columns else as they are."""
     return find_items(docs, benchmark).where(F.size("found") == 0).drop("found")
 
 
