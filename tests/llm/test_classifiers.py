@@ -84,15 +84,34 @@ def test_quality(spark):
     rows += [(900, None, None, None, None), (901, "", "", "", ""), (902, "word " * 30_000, "en", "src1", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality_score string")
     known = spark.createDataFrame([*labels[:350], (None, 1), (3, None)], "doc_id long, quality int")
-    model = quality.train(df, known)
-    out = quality.score(df, model)
-    assert out.columns == df.columns
+    df = df.withColumns({"_x": F.lit("own"), "y": F.lit(1), "id": F.lit("z")})
+    seen = quality.view(df)
+    model = quality.train(seen, known)
+    out = quality.score(seen, model)
+    assert sorted(out.columns) == sorted(df.columns) and {r["_x"] for r in out.collect()} == {"own"}
     got = {r.doc_id: r.quality_score for r in out.collect()}
     assert sum((got[i] >= 0.5) == bool(y) for i, y in labels[350:]) >= 147
     assert all(0 <= s <= 1 for s in got.values()) and {900, 901, 902} <= set(got)
-    assert quality.train(df, known.limit(0)) is None
-    assert all(r.quality_score == 1 for r in quality.score(df, None).collect())
-    assert quality.score(df.limit(0), model).count() == 0
+    assert quality.train(seen, known.limit(0)) is None
+    assert all(r.quality_score == 1 for r in quality.score(seen, None).collect())
+    none = quality.view(df.limit(0))
+    assert quality.score(none, model).count() == 0 and quality.train(none, known) is None
+    by_hand(df, dict(labels[:350]), model, got)
+
+
+def by_hand(df, labels, model, got):
+    """The rounds over all rows at once, in one process: same pseudo-labels, same scores."""
+    rows = df.collect()
+    x = np.array([quality.text_view(r.text or "") for r in rows], dtype=np.float32).astype(float)
+    m = np.array([quality.meta_view(r.text or "", r.lang, r.source) for r in rows], dtype=np.float32).astype(float)
+    y = np.array([labels.get(r.doc_id, -1) for r in rows])
+    held, free = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    held = held[np.argsort([r.doc_id for r in rows if r.doc_id in labels])]
+    fold = np.array([zlib.crc32(str(rows[i].doc_id).encode()) % quality.FOLDS for i in held])
+    same = quality.cotrain((x[held], m[held]), y[held].astype(float), fold, lambda models, bound: quality.sums((x[free], m[free]), models, bound))
+    assert [t.tolist() for t in same.told] == [t.tolist() for t in model.told] and model.told[0].sum() > 50
+    want = same.probability(x, m)
+    assert np.allclose([got[r.doc_id] for r in rows], want, atol=1e-6)
 
 
 def test_compression_reads_the_whole_text():
@@ -100,21 +119,29 @@ def test_compression_reads_the_whole_text():
     varied = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
     head = varied(4_000)  # 28 kB
     same, other = head + " " + "spam " * 20_000, head + " " + varied(15_000)
-    assert quality.meta_view(same, "en", "s")[9] < 0.5 * quality.meta_view(other, "en", "s")[9]
+    assert quality.text_view(same)[14] < 0.5 * quality.text_view(other)[14]
     for text in ("a", "é" * 50 + varied(300), same, other):
         data = text.encode()
-        assert quality.meta_view(text, "en", "s")[9] == pytest.approx(len(zlib.compress(data, 1)) / len(data), rel=0.01)
+        assert quality.text_view(text)[14] == pytest.approx(len(zlib.compress(data, 1)) / len(data), rel=0.01)
         assert quality.compressed_share(text, 1000) == pytest.approx(quality.compressed_share(text), rel=0.01)
-    assert quality.meta_view("", None, None)[9] == 0
+    assert quality.text_view("")[14] == 0
 
 
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 3000)
     x, m = (y[:, None] * 2 - 1 + rng.normal(0, 1.2, (3000, 2)) for _ in (0, 1))
-    few = slice(0, 30)
-    model = quality.cotrain(x[few], m[few], y[few].astype(float), x[30:1500], m[30:1500])
-    assert ((model.probability(x[1500:], m[1500:]) >= 0.5) == y[1500:]).mean() > 0.85
+    few, free = slice(0, 30), slice(30, 1500)
+    fold = np.arange(30) % quality.FOLDS
+    right = []
+    for rounds in (0, 3):
+        model = quality.cotrain((x[few], m[few]), y[few].astype(float), fold, lambda models, bound: quality.sums((x[free], m[free]), models, bound), rounds=rounds) if rounds else quality.cotrain((x[few], m[few]), y[few].astype(float), fold, None, rounds=0)
+        right.append(((model.probability(x[1500:], m[1500:]) >= 0.5) == y[1500:]).mean())
+    assert right[1] > 0.85 and right[1] >= right[0] - 0.005
+
+
+def test_the_metadata_view_reads_no_words():
+    assert quality.meta_view("Good words here\nand there", "en", "s") == quality.meta_view("!!!! ***** ZZZZ\n@@@ #####", "en", "s")
 
 
 def test_logistic_separates():
