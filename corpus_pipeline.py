@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldquery.llm import decontaminate, ngram_join, quality, sentencepiece, substring_dedup
-from foldquery.llm.common import table, written
+from foldquery.llm.common import table, unused, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier scores below 0.5 go. It learns from the labels of documents that are there."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where("quality_score >= 0.5").drop("quality_score")
+    """Documents that the co-trained classifier scores below 0.5 go. It learns from the labels of documents that are there.
+
+    Null texts, languages and sources count as empty; equal rows go or stay together; without labels of both kinds, and of an
+    empty table, all stay. Other columns stay as they are, whatever their names.
+    """
+    viewed = quality.view(docs)
+    name = unused("quality_score", docs.columns)
+    return quality.score(viewed, quality.train(viewed, table(spark, sf_dir, "labels")), name).where(F.col(name) >= 0.5).drop(name)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
