@@ -8,8 +8,9 @@ maximal-scoring segments. Their scores are calibrated as extreme values: in ordi
 of segments scoring S or more is K n exp(-lambda S); lambda and K are
 fitted to the upper half of the segments of ordinary training documents. A logistic fit to two features of the significant segments gives the probability.
 
-The fit uses at most `sample` labelled documents (the smallest by a hash of their id) and a lexicon of at most `lexicon`
-entries, so what goes to driver and workers is bounded. Scoring reads every text whole, in one pass without a shuffle.
+The fit uses at most `sample` labelled documents (the smallest by a hash of their id); the lexicon has every significant
+entry of these, so only the sample bounds what goes to driver and workers. Segment scores are summed up where they are;
+the driver gets the two features of each sampled document. Scoring reads every text whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldquery.llm.common import table
+from foldquery.llm.common import forget, table, written
 
 _WORD = re.compile(r"\w+")
 HEADS = (9, 8, 7, 6, 5, 4)
@@ -152,12 +153,24 @@ def _summed(model: ToxicModel):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int = 20_000, least_docs: int = 3, least_z: float = 2.5, drift: float = 1.0, prior: float = 50.0) -> ToxicModel:
-    """docs (doc_id, text), labels (doc_id, toxic). Null labels and ids are left out; of several labels of one id the largest holds. Without labels of both kinds the model scores every text 0.5 or less."""
+def _inputs(model: ToxicModel):
+    """(toxic, tokens, scores of segments) to (toxic, the two inputs of the logistic fit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, seg = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            both = [model.inputs([(0, 0, v, model.k * max(1, m) * math.exp(-model.lam * v)) for v in s]) for m, s in zip(n, seg, strict=True)]
+            yield pa.record_batch([batch.column(0), *(pa.array([b[i] for b in both], pa.float64()) for i in (0, 1))], ["toxic", "x", "y"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_docs: int = 3, least_z: float = 2.5, drift: float = 1.0, prior: float = 50.0) -> ToxicModel:
+    """docs (doc_id, text), labels (doc_id, toxic). Null labels and ids are left out; of several labels of one id the largest holds; rows that repeat an id count each; labels without a document count nowhere. Without labels of both kinds the model scores every text 0.5 or less."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")  # at most `sample` ids
-    totals = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n1 = float(totals.t or 0)
     n0 = float(totals.n) - n1
     model = ToxicModel({}, drift)
@@ -169,25 +182,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int
     y0 = F.col("n") - F.col("y1")
     delta = odds(F.col("y1"), n1) - odds(y0, n0)
     z = delta / F.sqrt(1 / (F.col("y1") + a) + 1 / (y0 + a))
-    picked = counts.select("w", delta.alias("d"), z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "w").limit(lexicon).collect()
+    picked = counts.select("w", delta.alias("d"), z.alias("z")).where(F.abs("z") >= least_z).collect()  # at most the sample's words
     model.lexicon = {r.w: r.d for r in picked}
-    got = rows.mapInArrow(_summed(model), "toxic int, n int, seg array<double>").collect()
-    calm = [r for r in got if not r.toxic]
-    tops = np.sort([x for r in calm for x in r.seg])
-    n = sum(r.n for r in calm) or 1
-    if len(tops):
-        edge = tops[len(tops) // 2]
-        over = tops[tops >= edge]
-        model.lam = float(1 / max(0.2, (over - edge).mean()))
-        model.k = float(min(1.0, len(over) / n * math.exp(min(50.0, model.lam * edge))))
+    got = written(rows.mapInArrow(_summed(model), "toxic int, n int, seg array<double>"), "segments")
+    calm = got.where("toxic = 0").select("n", F.explode_outer("seg").alias("s"))
+    n = got.where("toxic = 0").agg(F.sum("n")).first()[0] or 1
+    edge = calm.agg(F.percentile_approx("s", 0.5, 10_000)).first()[0]
+    if edge is not None:
+        over = calm.where(F.col("s") >= edge).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("s") - edge).alias("mean")).first()
+        model.lam = float(1 / max(0.2, over["mean"]))
+        model.k = float(min(1.0, over["n"] / n * math.exp(min(50.0, model.lam * edge))))
     else:
         model.k = 1 / n
-    x, y = [], []
-    for r in got:
-        m = max(1, r.n)
-        x.append(model.inputs([(0, 0, v, model.k * m * math.exp(-model.lam * v)) for v in r.seg]))
-        y.append(r.toxic)
-    model.weights = tuple(logistic(np.array(x), np.array(y, dtype=float)).tolist())
+    inputs = got.mapInArrow(_inputs(model), "toxic int, x double, y double").toArrow()  # at most `sample` rows
+    x, y = np.column_stack([inputs.column(c).to_numpy() for c in ("x", "y")]), inputs.column("toxic").to_numpy()
+    order = np.lexsort((y, x[:, 1], x[:, 0]))  # sums of the fit don't depend on the order of tasks
+    x, y = x[order], y[order]
+    forget(got)
+    model.weights = tuple(logistic(x, y.astype(float)).tolist())
     return model
 
 
@@ -213,7 +225,8 @@ def _scorer(shared, names: list[str], text_col: str):
 def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
     """docs with `score` (0 to 1) and `passages` (the significant ones, by token) in place of the text.
 
-    Null and empty texts have no passage and the lowest score. Columns already called score or passages are replaced.
+    Null and empty texts have no passage and the lowest score; equal texts score equally, repeated rows all stay; an empty
+    table gives no rows. Columns already called score or passages are replaced.
     """
     docs = docs.drop("score", "passages")
     kept = [f for f in docs.schema.fields if f.name != text_col]
