@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldquery.llm.common import table
+from foldquery.llm.common import forget, table, unused, written
 
 _END = re.compile(r"[.!?][ \t\r]+|\n+")
 LEAST_WORDS, RUN_WORDS = 4, 8
@@ -79,11 +79,12 @@ def _hashed(least_words: int, run_words: int):
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                part = batch.slice(at, 500)
+                texts = part.column(1).to_pylist()
                 found = [_digests(t, least_words, run_words) if t else () for t in texts]
                 d = np.frombuffer(b"".join(x for s in found for x in s), dtype=">i8").astype(np.int64)  # hex(d1) || hex(d2) is the digest
-                owner = np.repeat(np.array(ids, dtype=np.int64), [len(s) for s in found])
-                yield pa.record_batch([pa.array(d[0::2]), pa.array(d[1::2]), pa.array(owner)], ["d1", "d2", "id"])
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]))
+                yield pa.record_batch([pa.array(d[0::2]), pa.array(d[1::2]), part.column(0).take(owner)], ["d1", "d2", "id"])
 
     return run
 
@@ -141,17 +142,21 @@ def _cutter(names: list[str], text_col: str, least_words: int, run_words: int):
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the text cut and a column `removed`: array of (start, end) in characters of the original text.
 
-    A null text stays null, an empty one empty, with nothing removed. Rows that share an id never lose units to each
-    other, only to smaller ids; rows with a null id lose nothing to others and make others lose nothing. An empty table
-    gives no rows. A column of docs that is itself called `removed` is replaced.
+    Ids are of any ordered type. A null text stays null, an empty one empty, with nothing removed. Rows that share an id never
+    lose units to each other, only to smaller ids; rows with a null id lose nothing to others and make others lose nothing. An
+    empty table gives no rows. Other columns stay, whatever their names, but one called `removed` is replaced.
     """
     docs = docs.drop("removed")
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    hashed = keyed.mapInArrow(_hashed(least_words, run_words), "d1 long, d2 long, id long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    hashed = written(keyed.mapInArrow(_hashed(least_words, run_words), f"d1 long, d2 long, id {kind}"), "units")
     first = hashed.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("d1", "d2"))))
-    lost = hashed.join(first, ["d1", "d2"]).where("id > first").groupBy("id").agg(F.collect_list(digest).alias("_lost"))
-    joined = docs.join(lost.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    id_, lost_ = unused("_id", docs.columns), unused("_lost", docs.columns)
+    lost = hashed.join(first, ["d1", "d2"]).where("id > first").groupBy(F.col("id").alias(id_)).agg(F.collect_set(digest).alias(lost_))
+    lost = written(lost, "lost")
+    forget(hashed)
+    joined = docs.join(lost, docs[id_col] == lost[id_], "left").drop(id_)
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", SPANS)])
     return joined.mapInArrow(_cutter(docs.columns, text_col, least_words, run_words), schema)
 

@@ -50,9 +50,9 @@ def test_substring_dedup(spark):
         rows.append((i, rng.choice([" ", "\n", "\n\n"]).join(parts)))
     rows += [(60, None), (61, ""), (62, " \n\n "), (None, shared[0]), (70, rows[0][1]), (70, rows[0][1]), (71, shared[1].upper())]
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("x"), "d1": F.lit(1), "removed": F.lit(2), "lang": F.lit(None).cast("string")})
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("x"), "_id": F.lit(1), "_lost": F.lit(3), "removed": F.lit(2), "lang": F.lit(None).cast("string")})
     out = substring_dedup.dedup_units(df)
-    assert out.columns == ["doc_id", "text", "id", "d1", "lang", "removed"]
+    assert out.columns == ["doc_id", "text", "id", "_id", "_lost", "lang", "removed"]
     got = sorted(((r.doc_id, r.text, [tuple(x) for x in r.removed]) for r in out.collect()), key=str)
     assert got == by_hand(rows)
     assert sum(bool(x[2]) for x in got) > 10
@@ -75,6 +75,13 @@ def test_short_lines_go(spark):
     assert got == want
 
 
+def test_a_short_line_in_many_documents_stays_once(spark):
+    rows = [(f"{i:04}", f"own words of {i} alone\nShare this\nand more of {i} here") for i in range(1000)]
+    out = substring_dedup.dedup_units(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.doc_id for r in out if "Share this" in r.text] == ["0000"]
+    assert all(r.text.startswith(f"own words of {int(r.doc_id)} alone") for r in out)
+
+
 def test_units_cover_the_text():
     for text in ("", "one", "A b c d. E f.\n\nG h i j k! L", "x" * 5000 + "\n" * 50, "a. b. c. d. e. f."):
         spans = substring_dedup.units(text)
