@@ -7,7 +7,11 @@ other: each word is solved once and remembered in a bounded table. Characters wi
 10 and are written as byte pieces.
 
 Log scores: a unigram file's own. A file of the merge-order kind has ranks for scores; there the log score of the piece of
-rank r is -ln(1 + r), a Zipf law, ranks being counted over the pieces by falling score, then id.
+rank r is -ln(1 + r), a Zipf law, ranks being counted over the pieces by falling score, then id. A piece that the user
+defined scores more than any way around it. Of the file's normaliser the marker before the text and the removal of extra
+spaces are followed; a file with a character map is refused.
+
+Every text's ids are decoded again where they are made, and `exact` tells whether that gives the text.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldquery.llm.common import table
+from foldquery.llm.common import table, unused
 
 #: Public vocabulary files of this machine; pass another path on another one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -61,6 +65,14 @@ def fields(data: bytes) -> Iterator[tuple[int, int, object]]:
         yield tag >> 3, kind, value
 
 
+def read_rules(model: bytes) -> tuple[bool, bool]:
+    """(a marker goes before the text, extra spaces go), by the file's normaliser."""
+    found = next((dict((n, v) for n, _, v in fields(value)) for number, _, value in fields(model) if number == 3), {})
+    if found.get(2):
+        raise ValueError(f"the normaliser {found.get(1, b'').decode()} has a character map; only plain ones are known")
+    return bool(found.get(3, 1)), bool(found.get(4, 1))
+
+
 def read_pieces(model: bytes) -> list[tuple[str, float, int]]:
     """(piece, log score, kind) by id."""
     pieces, kind = [], UNIGRAM
@@ -74,7 +86,8 @@ def read_pieces(model: bytes) -> list[tuple[str, float, int]]:
         order = sorted((i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)), key=lambda i: (-pieces[i][1], i))
         for rank, i in enumerate(order):
             pieces[i] = (pieces[i][0], -math.log(1 + rank), pieces[i][2])
-    return pieces
+    most = max((score for _, score, k in pieces if k == NORMAL), default=0.0)
+    return [(p, len(p) * most - 0.1, k) if k == USER else (p, score, k) for p, score, k in pieces]
 
 
 class DoubleArray:
@@ -131,11 +144,14 @@ class Model:
     byte_ids: list[int]
     unknown: int
     whole: bool  # a piece holds a marker after another character: words can't be solved apart
+    prefix: bool = True  # a marker goes before the text
+    squeeze: bool = False  # of several spaces one stays, none at either end
 
     @classmethod
     def read(cls, path: str) -> Model:
         with open(path, "rb") as f:
-            pieces = read_pieces(f.read())
+            data = f.read()
+        pieces = read_pieces(data)
         keys = {p.encode(): i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         trie = DoubleArray(keys)
         byte_ids = [-1] * 256
@@ -148,7 +164,7 @@ class Model:
                 surface.append(p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"")
         whole = any(MARK in p.lstrip(MARK) or "\n" in p for p, _, kind in pieces if kind in (NORMAL, USER))
         unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
-        return cls(trie.base, trie.check, trie.value, np.array([p[1] for p in pieces]), surface, byte_ids, unknown, whole)
+        return cls(trie.base, trie.check, trie.value, np.array([p[1] for p in pieces]), surface, byte_ids, unknown, whole, *read_rules(data))
 
 
 #: Longer words are solved without being remembered.
@@ -161,13 +177,10 @@ class _Words(dict):
     def __init__(self, encoder: Encoder, room: int):
         super().__init__()
         self.encoder, self.room = encoder, room
-        self.odd: set[str] = set()  # words that don't decode to themselves
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encoder.best(word.replace(" ", MARK))
         out = struct.pack(f"={len(ids)}i", *ids)
-        if b"".join(map(self.encoder.m.surface.__getitem__, ids)) != word.encode():
-            self.odd.add(word)
         if len(word) <= LONG:
             if len(self) >= self.room:
                 self.clear()
@@ -223,24 +236,26 @@ class Encoder:
             at = start
         return out[::-1]
 
-    def blob(self, text: str) -> tuple[bytes, bool]:
-        """The ids as bytes of int32, and whether they decode to the text. Decoding joins the words' surfaces, so a text
-        comes back if each of its words does."""
+    def normal(self, text: str) -> str:
+        """The text as it is encoded, but for the markers."""
+        text = text.replace(MARK, " ")
+        return " ".join(w for w in text.split(" ") if w) if self.m.squeeze else text
+
+    def blob(self, text: str) -> bytes:
+        """The ids of a normal text as bytes of int32."""
         if not text:
-            return b"", True
+            return b""
+        text = " " + text if self.m.prefix else text
         if self.m.whole:
-            ids = self.best((" " + text).replace(" ", MARK))
-            return np.array(ids, dtype=np.int32).tobytes(), self.decode(ids) == text
-        parts = self._WORD.findall(" " + text.replace(MARK, " "))
-        out = b"".join(map(self.words.__getitem__, parts))
-        return out, MARK not in text and not (self.words.odd and any(p in self.words.odd for p in parts))
+            return np.array(self.best(text.replace(" ", MARK)), dtype=np.int32).tobytes()
+        return b"".join(map(self.words.__getitem__, self._WORD.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.blob(text)[0], dtype=np.int32).tolist()
+        return np.frombuffer(self.blob(self.normal(text)), dtype=np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.m.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.m.prefix and text.startswith(" ") else text
 
 
 def _worker(shared, names: list[str], text_col: str):
@@ -249,11 +264,12 @@ def _worker(shared, names: list[str], text_col: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column(names.index(text_col)).to_pylist()
-                done = [encoder.blob(t or "") for t in texts]
-                same = [ok for _, ok in done]
-                flat = np.frombuffer(b"".join(x for x, _ in done), dtype=np.int32)
-                ends = np.cumsum([0, *(len(x) // 4 for x, _ in done)], dtype=np.int32)
+                texts = [t or "" for t in part.column(names.index(text_col)).to_pylist()]
+                done = [encoder.blob(encoder.normal(t)) for t in texts]
+                flat = np.frombuffer(b"".join(done), dtype=np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 for x in done)], dtype=np.int32)
+                every = flat.tolist()
+                same = [encoder.decode(every[a:b]) == t for a, b, t in zip(ends.tolist(), ends[1:].tolist(), texts, strict=False)]
                 cols = [part.column(i) for i, n in enumerate(names) if n != text_col]
                 out = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.record_batch([*cols, out, pa.array(same)], [*(n for n in names if n != text_col), "ids", "exact"])
@@ -267,8 +283,8 @@ _models: dict[str, Model] = {}
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
     """docs with `ids` (array of int) and `exact` (the ids decode to the text) in place of the text.
 
-    A null or empty text has no ids and is exact. exact is false only where a text holds U+2581 itself, which decoding
-    turns into a space. Columns already called ids or exact are replaced; an empty table gives no rows.
+    A null or empty text has no ids and is exact. exact is false where a text holds U+2581 itself, which decoding
+    turns into a space, or where the model's normaliser removes spaces. Equal texts have equal ids; repeated rows all stay. Columns already called ids or exact are replaced; an empty table gives no rows.
     """
     docs = docs.drop("ids", "exact")
     if model not in _models:
@@ -285,14 +301,19 @@ def decode(tokens: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataF
         _models[model] = Model.read(model)
     shared = tokens.sparkSession.sparkContext.broadcast(_models[model])
 
-    @F.pandas_udf("string")
-    def text(ids):
-        import pandas as pd
+    out = unused("text", [c for c in tokens.columns if c != "text"])
+    tokens = tokens.drop(out)
+    names = tokens.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        return pd.Series([encoder.decode([int(i) for i in x]) if x is not None else "" for x in ids])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [encoder.decode(x) if x is not None else "" for x in part.column(names.index(ids_col)).to_pylist()]
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*names, out])
 
-    return tokens.withColumn("text", text(ids_col))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

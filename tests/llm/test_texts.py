@@ -225,6 +225,32 @@ def test_words_apart_as_whole(encoder):
         assert encoder.encode(t) == whole, t
 
 
+def test_user_pieces_and_normaliser(tmp_path, encoder):
+    """Against the library, on a model with user-defined pieces that removes extra spaces."""
+    import sentencepiece as library
+
+    data = unigram_model()
+    user = {"<sep>", "ation", "▁the"}
+    varint = lambda n: bytes((n & 127 | 128, *varint(n >> 7))) if n > 127 else bytes((n,))
+    out = b""
+    for number, _, value in sentencepiece.fields(data):
+        if number == 1:
+            p = next(v for n, _, v in sentencepiece.fields(value) if n == 1).decode()
+            if p in user:
+                value = value[:-1] + bytes((sentencepiece.USER,))
+        if number == 3:
+            value = value.replace(b"\x20\x00", b"\x20\x01")
+        out += varint(number << 3 | 2) + varint(len(value)) + value
+    (tmp_path / "m").write_bytes(out)
+    ours, theirs = sentencepiece.Encoder(sentencepiece.Model.read(str(tmp_path / "m"))), library.SentencePieceProcessor(model_proto=out)
+    assert ours.m.squeeze and sum(k == sentencepiece.USER for *_, k in sentencepiece.read_pieces(out)) == 2
+    for t in ("the nation  stationed   there", " mentions of the other ", "tiontion", "rationthe"):
+        assert ours.encode(t) == theirs.encode(t), t
+        assert ours.decode(ours.encode(t)) == theirs.decode(theirs.encode(t)) == " ".join(t.split())
+    with pytest.raises(ValueError, match="character map"):
+        sentencepiece.read_rules(b"\x1a\x08" + b"\x0a\x03abc\x12\x01x")
+
+
 def test_trie():
     keys = {w.encode(): i for i, w in enumerate(["a", "ab", "abc", "b", "ßx", "zz", "▁the"])}
     trie = sentencepiece.DoubleArray(keys)
