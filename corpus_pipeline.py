@@ -21,23 +21,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by Jaccard of five-word shingles of 0.8 or more the smallest doc_id stays."""
+    """Of each group of documents linked by Jaccard of five-word shingles of 0.8 or more the smallest doc_id stays.
+
+    Null and blank texts link with nothing and stay, as do rows without an id; rows that repeat a doc_id that stays all stay;
+    an empty table gives no rows. Other columns stay as they are.
+    """
     return ngram_join.keep_one(docs, ngram=5, num=80, den=100)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut from all texts but the first; n_chars follows. A document keeps its row."""
+    """Repeated passages are cut from all texts but the first; n_chars follows. A document keeps its row.
+
+    A null text stays null, and so does its n_chars; rows without an id lose nothing; rows that repeat an id lose nothing to each
+    other; an empty table gives no rows.
+    """
     return substring_dedup.dedup_units(docs).drop("removed").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exact or refilled, go."""
+    """Documents that hold a benchmark item, exact or refilled, go; repeated rows go together.
+
+    Null and empty texts stay, and with an empty benchmark all do; an empty table gives no rows. Other columns stay as they are.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of every document."""
-    return sentencepiece.encode(docs.select("doc_id", "text")).select("doc_id", "ids", F.size("ids").alias("n_tokens"))
+    """doc_id, ids, n_tokens and whether the ids decode to the text, of every document; a null text has no ids. Repeated rows
+    all stay; an empty table gives no rows."""
+    return sentencepiece.encode(docs.select("doc_id", "text")).select("doc_id", "ids", F.size("ids").alias("n_tokens"), "exact")
 
 
 STAGES = [
@@ -45,7 +57,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicate_stage),
     ("substring dedup", substring_stage),
     ("benchmark decontamination", decontamination_stage),
-    ("SentencePiece encoding", token_stage),
+    ("SentencePiece encoding and decoding", token_stage),
 ]
 
 #: Training and Viterbi search can't be said in SQL.
