@@ -276,6 +276,67 @@ def test_encode_rows(spark, encoder):
     assert sentencepiece.encode(df.limit(0)).count() == 0
 
 
+MIT = """The MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_licences_as_they_stand_in_files(spark):
+    """Wrapped, commented and quoted texts, SPDX lines, British spelling; the SQL tells the same."""
+    marked = lambda text, lead: "\n".join((lead + line).rstrip() for line in text.split("\n"))
+    texts = {
+        MIT: "MIT", marked(MIT, "# "): "MIT", marked(MIT, "> "): "MIT", "int x;\n/*\n" + marked(APACHE, " * ") + "\n */\nint y;": "Apache-2.0", marked(APACHE, "// "): "Apache-2.0", marked(LGPL, ";; "): "LGPL-2.1-or-later",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0\nx = 1": "Apache-2.0,MIT", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) */\nfoo": "GPL-2.0-only", "# SPDX-License-Identifier: BSD-3-Clause.": "BSD-3-Clause",
+        "Released under the MIT Licence.": "MIT", "This project is licensed under the terms of the ISC License.": "ISC", "Available under Mozilla Public License 2.0": "MPL-2.0", "distributed under the table": "",
+    }
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_s": F.lit(1), "_left": F.lit(2), "_m0": F.lit(3)})
+    out = licenses.scan(df).orderBy("doc_id")
+    got = out.collect()
+    assert [r.licenses for r in got] == list(texts.values())
+    assert out.columns[:4] == ["doc_id", "_s", "_left", "_m0"] and all((r["_s"], r["_left"], r["_m0"]) == (1, 2, 3) for r in got)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(f"SELECT doc_id, licenses, identifiers, unmatched, n_sentences FROM ({licenses.SQL}) ORDER BY 1").fetchall()
+    assert want == [(r.doc_id, r.licenses, r.identifiers, r.unmatched, r.n_sentences) for r in got]
+
+
 def test_licences(spark):
     mit = "Copyright (c) 2020 Somebody.\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."
     rows = [
