@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldquery.llm.common import ascii_lower, components, table, written
+from foldquery.llm.common import ascii_lower, components, forget, table, written
 
 ALLOW, BLOCK = "allow", "block"
 RULES: list[tuple[str, str]] = [(ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/")]
@@ -21,7 +21,9 @@ RULES: list[tuple[str, str]] = [(ALLOW, "org/"), (BLOCK, "example.org/es/"), (BL
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sid|session|sessionid)(=|$)"
 _CANONICAL = r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""
 _HREF = r"""(?i)\bhref=["']?([^"'\s>]+)"""
-_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*\burl=['"]?([^"'\s>]+)"""
+_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*>"""
+_URL = r"""(?i)\burl\s*=\s*['"]?([^"'\s>]+)"""
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host(url: Column) -> Column:
@@ -47,28 +49,61 @@ def rule_of(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> Colum
     return F.coalesce(*cases, F.lit(None).cast("int"))
 
 
+def rules_for(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, own): the longest rule that fits each place, by a join on the host's suffixes.
+
+    rules (rule, verdict), of any number: one row for each suffix of a host meets the rules of that very host. Of equal
+    rules the one that allows holds. Places without a rule are left out.
+    """
+    named = rules.select("rule", F.col("verdict").alias("own"), F.substring_index("rule", "/", 1).alias("suffix"), F.regexp_replace("rule", "^[^/]*/?", "/").alias("start"))
+    labels = F.split("host", "[.]", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    met = places.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).join(named, "suffix").where(F.col("path").startswith(F.col("start")))
+    best = F.max(F.struct(F.length("rule").alias("n"), (F.col("own") == ALLOW).alias("allows"), "rule", "own")).alias("b")
+    return met.groupBy("host", "path").agg(best).select("host", "path", "b.rule", "b.own")
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The address that a page names, in full: null for one that is no page's, or is the page itself."""
+    scheme = F.regexp_extract(url, "^([^:]*)://", 1)
+    site = F.concat(scheme, F.lit("://"), host(url))
+    folder = F.regexp_replace(path(url), "[^/]*$", "")
+    steps = F.split(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_extract(to, "^([^?#]*)", 1)), "/", -1)
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    relative = F.concat(site, F.array_join(walked, "/"), F.regexp_extract(to, "^[^?#]*(.*)$", 1))
+    return (
+        F.when(to.contains("://"), to).when(to.rlike(_SCHEME), F.lit(None)).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(site, to)).when(to.startswith("?"), F.concat(site, path(url), to)).when(to.startswith("#"), F.lit(None)).otherwise(relative)
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(src, dst) between normal forms: from each page to the targets that its html names."""
+    """(src, dst) between normal forms: from each page to the targets that its html names, as far as these are addresses."""
     canonical = F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1)
-    refresh = F.regexp_extract("html", _REFRESH, 1)
-    out = pages.where("url is not null and html is not null").select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''")
-    scheme, place = F.regexp_extract("url", "^([^:]*):", 1), F.col("to")
-    full = F.when(place.contains("://"), place).when(place.startswith("//"), F.concat(scheme, F.lit(":"), place)).when(place.startswith("/"), F.concat(scheme, F.lit("://"), host(F.col("url")), place))
-    return out.select(normal(F.col("url")).alias("src"), normal(full).alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
+    refresh = F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _URL, 1)
+    out = pages.where("url is not null and html is not null").select("url", F.explode(F.array(canonical, refresh)).alias("to")).where("to <> '' and url like '%://%'")
+    full = resolved(F.col("url"), F.replace("to", F.lit("&amp;"), F.lit("&")))
+    return out.select(normal(F.col("url")).alias("src"), full.alias("full")).where("full is not null").select("src", normal(F.col("full")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str = ALLOW) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, default: str = ALLOW) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, host, path, rule, verdict, alias (the component's smallest normal form).
 
-    A null url or one without :// has an empty host and path, no rule and no alias, and the default verdict; a null html
-    names no targets. Repeated rows are each judged; other columns are ignored; an empty table gives no rows.
+    rules: a short list becomes one expression; a table (rule, verdict) of any length is joined. A null url or one without
+    :// has an empty host and path, no rule and no alias, and the default verdict; a null html names no targets. Repeated
+    rows are each judged; other columns are ignored; an empty table gives no rows.
     """
     url = F.col("url")
-    n = F.col("_i")
-    pick = lambda k: reduce(lambda a, i: F.when(n == i, F.lit(rules[i][k])).otherwise(a), range(len(rules)), F.lit(None).cast("string"))
     told = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), F.when(url.contains("://"), normal(url)).alias("node"))
-    told = told.withColumn("_i", rule_of(F.col("host"), F.col("path"), rules)).withColumn("rule", pick(1)).withColumn("own", pick(0)).drop("_i")
-    root = components(written(links(pages), "links"))
+    if isinstance(rules, DataFrame):
+        told = told.join(rules_for(told, rules), ["host", "path"], "left")
+    else:
+        n = F.col("_i")
+        pick = lambda k: reduce(lambda a, i: F.when(n == i, F.lit(rules[i][k])).otherwise(a), range(len(rules)), F.lit(None).cast("string"))
+        told = told.withColumn("_i", rule_of(F.col("host"), F.col("path"), rules)).withColumn("rule", pick(1)).withColumn("own", pick(0)).drop("_i")
+    found = written(links(pages), "links")
+    root = components(found)
+    forget(found)
     placed = told.join(root.withColumnRenamed("id", "node"), "node", "left").withColumn("alias", F.coalesce("root", "node")).drop("root")
     held = placed.where("own is not null and alias is not null").groupBy("alias").agg(F.max(F.col("own") == ALLOW).alias("allowed"))
     out = placed.join(held, "alias", "left")
@@ -92,12 +127,15 @@ def _sql() -> str:
     own = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v, _ in fits)
     return f"""
 WITH RECURSIVE raw AS (
-  SELECT url, regexp_extract(regexp_extract(html, '{quoted(_CANONICAL)}', 0), '{quoted(_HREF)}', 1) AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL
-  UNION ALL SELECT url, regexp_extract(html, '{quoted(_REFRESH)}', 1) FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+  SELECT url, replace(regexp_extract(regexp_extract(html, '{quoted(_CANONICAL)}', 0), '{quoted(_HREF)}', 1), '&amp;', '&') AS t FROM pages WHERE contains(url, '://') AND html IS NOT NULL
+  UNION ALL SELECT url, replace(regexp_extract(regexp_extract(html, '{quoted(_REFRESH)}', 0), '{quoted(_URL)}', 1), '&amp;', '&') FROM pages WHERE contains(url, '://') AND html IS NOT NULL),
+placed_ AS (SELECT url, t, regexp_extract(url, '^([^:]*)://', 1) AS scheme, regexp_extract(url, '^([^:]*)://', 1) || '://' || {h("url")} AS site, regexp_replace({p("url")}, '[^/]*$', '') AS folder FROM raw WHERE t <> ''),
 full_ AS (
-  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*):', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:]*):', 1) || '://' || {h("url")} || t END AS t FROM raw WHERE t <> ''),
-e AS (SELECT DISTINCT {norm("url")} AS a, {norm("t")} AS b FROM full_),
+  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN regexp_matches(t, '{_SCHEME}') THEN NULL WHEN starts_with(t, '//') THEN scheme || ':' || t
+    WHEN starts_with(t, '/') THEN site || t WHEN starts_with(t, '?') THEN site || {p("url")} || t WHEN starts_with(t, '#') THEN NULL
+    ELSE site || array_to_string(list_reduce(list_transform(string_split(CASE folder WHEN '' THEN '/' ELSE folder END || regexp_extract(t, '^([^?#]*)', 1), '/'), lambda x: [x]),
+      lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN list_slice(a, 1, greatest(len(a) - 1, 1)) ELSE a || x END), '/') || regexp_extract(t, '^[^?#]*(.*)$', 1) END AS t FROM placed_),
+e AS (SELECT DISTINCT {norm("url")} AS a, {norm("t")} AS b FROM full_ WHERE t IS NOT NULL),
 linked AS (SELECT a, b FROM e WHERE a <> '' AND b <> '' AND a <> b UNION SELECT b, a FROM e WHERE a <> '' AND b <> '' AND a <> b),
 walk AS (SELECT a AS id, a AS root FROM linked UNION SELECT linked.b, walk.root FROM walk JOIN linked ON linked.a = walk.id),
 comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
