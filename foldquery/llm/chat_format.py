@@ -1,13 +1,16 @@
 """Chat formatting by schema fingerprints, in DataFrame expressions alone.
 
-A layout is known by its fingerprint: the hash of its sorted nested field paths (arrays add `[]`). Each fingerprint selects
-a declarative mapping to canonical turns (conv_id, turn, role, text). Canonical turns become one string per conversation:
+A layout is known by its fingerprint: the hash of its sorted nested field paths (arrays add `[]`, over all their elements).
+Only field names that some layout uses count, so scores, ids and the like beside them don't matter; a field that holds an object
+or array where a layout has a text does. Each fingerprint selects a declarative mapping to canonical turns (conv_id, turn,
+role, text). Canonical turns become one string per conversation:
 
     <turn user>
     text</turn>
 
 `&` and `<` inside texts and roles are written `&amp;` and `&lt;`, and `>` inside roles `&gt;`, so the marks can't occur in them and reading back is
 exact. The loss mask covers the escaped text of the assistant's turns, as spans of the formatted string.
+A conversation is one string, so its turns meet in one task; conversations are dealt over all tasks by their id.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldquery.llm.common import table
+from foldquery.llm.common import table, unused
 
 OPEN, CLOSE = "<turn ", "</turn>"
 ASSISTANT = "assistant"
@@ -43,8 +46,8 @@ def _turn(n: int, role: str, text: Column) -> Column:
     return F.struct(F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), text.cast("string").alias("text"))
 
 
-def _listed(col: str, role: str, text: str) -> Column:
-    return F.transform(F.col(col), lambda x, i: F.struct(i.cast("long").alias("turn"), x[role].cast("string").alias("role"), x[text].cast("string").alias("text")))
+def _listed(col: str, role: str, *texts: str) -> Column:
+    return F.transform(F.col(col), lambda x, i: F.struct(i.cast("long").alias("turn"), x[role].cast("string").alias("role"), F.coalesce(*(x[t].cast("string") for t in texts), F.lit(None).cast("string")).alias("text")))
 
 
 def _some(*turns: Column) -> Column:
@@ -62,20 +65,28 @@ LAYOUTS: dict[tuple[str, ...], object] = {
     ("messages[].content", "messages[].role"): lambda: _listed("messages", "role", "content"),
     ("conversations[].from", "conversations[].value"): lambda: _listed("conversations", "from", "value"),
     ("messages[].text", "messages[].role"): lambda: _listed("messages", "role", "text"),
+    ("messages[].content", "messages[].role", "messages[].text"): lambda: _listed("messages", "role", "content", "text"),
 }
 ROWS = ("role", "text", "turn")  # one row a turn
 FINGERPRINTS = {fingerprint_of(list(k)): k for k in [*LAYOUTS, ROWS]}
+#: Every field path that some layout uses; others are passed over.
+PATHS = sorted({p for k in [*LAYOUTS, ROWS] for p in k})
 
 
 def fingerprint(df: DataFrame, id_col: str = "conv_id") -> str:
-    return fingerprint_of([p for p in paths(df.schema) if p != id_col])
+    """Of the columns that layouts use. One of them with other fields inside than layouts have keeps these, and is unknown."""
+    tops = {p.split("[")[0] for p in PATHS}
+    inside = {p.split("[].")[1] for p in PATHS if "[]." in p}
+    mine = T.StructType([f for f in df.schema.fields if f.name != id_col and f.name in tops])
+    return fingerprint_of([p for p in paths(mine) if p in PATHS or "[]." not in p or p.split("[].")[1].split(".")[0].split("[")[0] in inside])
 
 
 def canonical(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a frame in any known layout; ValueError with its field paths for any other.
 
-    In prompt and instruction layouts a null side gives no turn. Roles are mapped to user, assistant and system where a
-    layout has other names for them. An array that is null or empty gives no rows.
+    Columns and fields that no layout uses are passed over. In prompt and instruction layouts a null side gives no turn. Roles
+    are mapped to user, assistant and system where a layout has other names for them. An array that is null or empty gives
+    no rows; equal rows all stay.
     """
     layout = FINGERPRINTS.get(fingerprint(df, id_col))
     if layout is None:
@@ -91,35 +102,56 @@ def canonical(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
 def canonical_json(df: DataFrame, json_col: str = "json", id_col: str = "conv_id") -> DataFrame:
     """As canonical() for rows whose layouts differ: each JSON text is fingerprinted by its own field paths.
 
-    Texts that aren't objects of a known layout give no rows; unknown() tells them.
+    Texts that are null, aren't JSON objects or are of no known layout give no rows; unknown() tells them.
     """
-    found = _of_json(df, json_col)
+    found, print_col = _of_json(df, json_col)
     turns = None
     for print_, layout in FINGERPRINTS.items():
         if layout == ROWS:
             continue
         tops = sorted({p.split("[]")[0] for p in layout})
         kinds = {t: "string" if t in layout else "array<struct<" + ",".join(f"`{p.split('[].')[1]}`:string" for p in layout if p.startswith(f"{t}[]")) + ">>" for t in tops}
-        part = found.where(F.col("_print") == print_).select(F.col(id_col), F.from_json(json_col, ",".join(f"`{k}` {v}" for k, v in kinds.items())).alias("_j"))
+        part = found.where(F.col(print_col) == print_).select(F.col(id_col), F.from_json(json_col, ",".join(f"`{k}` {v}" for k, v in kinds.items())).alias("_j"))
         part = canonical(part.select(id_col, *(F.col(f"_j.{t}").alias(t) for t in tops)), id_col)
         turns = part if turns is None else turns.unionByName(part)
     return turns
 
 
 def unknown(df: DataFrame, json_col: str = "json") -> DataFrame:
-    """The rows of df whose JSON has no known layout."""
-    return _of_json(df, json_col).where(F.col("_print").isNull() | ~F.col("_print").isin(*FINGERPRINTS)).drop("_print")
-
-
-def _of_json(df: DataFrame, json_col: str) -> DataFrame:
-    top = F.json_object_keys(json_col)
-    first = lambda k: F.array_sort(F.json_object_keys(F.expr(f"get_json_object({json_col}, concat('$.', {k}, '[0]'))")))
-    nested = F.transform(top, lambda k: F.when(k.isin("messages", "conversations"), k).otherwise(F.lit(None)))
-    prefixed = lambda c: F.transform(first(f"'{c}'"), lambda x: F.concat(F.lit(f"{c}[]."), x))
-    none = F.array().cast("array<string>")
-    listed = F.flatten(F.array(*(F.when(F.array_contains(nested, c), prefixed(c)).otherwise(none) for c in ("messages", "conversations"))))
-    flat = F.filter(top, lambda k: ~k.isin("messages", "conversations", "conv_id"))
-    return df.withColumn("_print", F.substring(F.sha2(F.array_join(F.array_sort(F.concat(flat, listed)), "\n"), 256), 1, 16))
+    """The rows of df whose JSON is null, no object or of no known layout; its count() says how many canonical_json() left out."""
+    found, print_col = _of_json(df, json_col)
+    layouts = [p for p, k in FINGERPRINTS.items() if k != ROWS]
+    return found.where(F.col(print_col).isNull() | ~F.col(print_col).isin(*layouts)).drop(print_col)
+
+
+def _paths(top: str, kind: Column) -> Column:
+    """The paths of a field that holds a text, by its variant's type; none where it is missing."""
+    return F.when(kind.rlike("^(ARRAY|OBJECT)"), F.array(F.lit(f"{top}.{{}}"))).when(kind.isNotNull(), F.array(F.lit(top))).otherwise(F.array().cast("array<string>"))
+
+
+def _list_paths(json_col: str, top: str, inner: list[str], kind: Column) -> Column:
+    """The paths of a field that holds turns, over all of them; a turn without its role or any text adds a path that no layout has."""
+    turns = F.from_json(F.get_json_object(json_col, f"$.{top}"), "array<map<string,string>>")
+    held = F.array_distinct(F.flatten(F.transform(turns, F.map_keys)))
+    there = F.transform(F.array_intersect(F.array(*map(F.lit, inner)), held), lambda x: F.concat(F.lit(f"{top}[]."), x))
+    roles, texts = ([i for i in inner if (i in ("role", "from")) == r] for r in (True, False))
+    whole = F.forall(turns, lambda x: F.arrays_overlap(F.map_keys(x), F.array(*map(F.lit, roles))) & F.arrays_overlap(F.map_keys(x), F.array(*map(F.lit, texts))))
+    odd = kind.rlike("\\b(" + "|".join(inner) + "): (ARRAY|OBJECT)") | ~F.coalesce(whole, F.lit(False))
+    listed = F.concat(there, F.when(odd, F.array(F.lit(f"{top}[].{{}}"))).otherwise(F.array().cast("array<string>")))
+    return F.when(kind.startswith("ARRAY<OBJECT"), listed).otherwise(_paths(top, kind))
+
+
+def _of_json(df: DataFrame, json_col: str) -> tuple[DataFrame, str]:
+    """df with the fingerprint of each JSON text, and that column's name. Every element of an array is looked at."""
+    whole, out = unused("_v", df.columns), unused("_print", df.columns)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(whole, path, "variant"))
+    parts = []
+    for top in sorted({p.split("[")[0] for p in PATHS if p not in ROWS}):
+        inner = [p.split("[].")[1] for p in PATHS if p.startswith(f"{top}[].")]
+        parts.append(_list_paths(json_col, top, inner, kind(f"$.{top}")) if inner else _paths(top, kind(f"$.{top}")))
+    every = F.array_sort(F.flatten(F.array(*parts)))
+    print_ = F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.substring(F.sha2(F.array_join(every, "\n"), 256), 1, 16))
+    return df.withColumn(whole, F.try_parse_json(json_col)).withColumn(out, print_).drop(whole), out
 
 
 def escape(c: Column) -> Column:

@@ -15,6 +15,8 @@ PAGES = [
     (9, "http://good.net/", '<link href=/start rel=canonical>'), (10, "https://www.good.net/start.html?utm_source=x#top", '<link rel="canonical" href="//free.org/">'), (11, None, "x"), (12, "no scheme", None),
     (13, "HTTP://EXAMPLE.org/en/1", ""), (14, "http://plain.net/a?b=1", ""), (14, "http://plain.net/a?b=1", ""), (15, "http://mixed.net/", '<link rel="canonical" href="http://shop.com/en/9">'), (16, "http://mixed.net/2", '<link rel="canonical" href="http://mixed.net/">'),
     (17, "http://both.net/", '<link rel="canonical" href="http://c.com/de/1">'), (18, "http://both.net/2", '<link rel="canonical" href="http://both.net"><meta http-equiv=refresh content="1;url=http://c.com/fr/1">'), (19, "http://c.com/de/1", ""), (20, "http://c.com/fr/1", ""), (21, "http://xexample.org/es/", ""),
+    (22, "http://rel.net/a/b/c.html", '<link href="../d?x=1&amp;y=2" rel="canonical">'), (23, "http://rel.net/a/d?x=1&y=2", '<meta content="0; url=http://c.com/de/1" http-equiv="refresh">'), (24, "http://rel.net/p/q", '<link rel=canonical href="./../../../z">'),
+    (25, "http://rel.net/z/", '<link rel=canonical href="mailto:x@y">'), (26, "http://rel.net/w?k=1", '<meta http-equiv="refresh" content="5;URL=\'?k=2\'">'), (27, "http://rel.net/w?k=2", '<link rel=canonical href="next.html">'), (28, "http://rel.net/next", '<link rel=canonical href="#top">'), (29, "no scheme", '<link rel=canonical href="/a">'),
 ]
 
 
@@ -25,7 +27,12 @@ def test_urls(spark):
         1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: (None, "allow"), 4: ("org/", "allow"), 5: ("com/fr/", "allow"), 6: ("com/de/", "block"), 7: (None, "block"), 8: (None, "block"),
         9: (None, "allow"), 10: (None, "allow"), 11: (None, "allow"), 12: (None, "allow"), 13: ("example.org/en/1", "block"), 14: (None, "allow"), 15: (None, "block"), 16: (None, "block"),
         17: (None, "allow"), 18: (None, "allow"), 19: ("com/de/", "block"), 20: ("com/fr/", "allow"), 21: ("org/", "allow"),
+        **{i: (None, "allow") for i in range(22, 30)},
     }
+    assert got[22].alias == got[23].alias == got[19].alias and got[24].alias == got[25].alias == "rel.net/p/q" and got[26].alias == got[27].alias == got[28].alias and got[29].alias is None
+    table = spark.createDataFrame([(r, v) for v, r in url_filter.RULES] + [("com/de/", "block"), ("nowhere.net/", "block")], "rule string, verdict string")
+    cols = ["page_id", "host", "path", "rule", "verdict", "alias"]
+    assert sorted((tuple(r[c] for c in cols) for r in url_filter.judge(df, table).collect()), key=str) == sorted((tuple(r[c] for c in cols) for r in url_filter.judge(df).collect()), key=str)
     assert (got[13].host, got[13].path) == ("example.org", "/en/1") and (got[11].host, got[11].path) == ("", "")
     con = duckdb.connect()
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
@@ -61,16 +68,26 @@ def test_layouts(spark):
     assert rows(spark.createDataFrame([(1, None, "a")], "conv_id int, question string, answer string")) == qa[1:]
     with pytest.raises(ValueError):
         chat_format.canonical(spark.createDataFrame([(1, "x")], "conv_id int, what string"))
+    assert rows(spark.createDataFrame([(1, 0, "user", "q", "s", 0.5)], "conv_id int, turn long, role string, text string, source string, score double")) == qa[:1]
+    assert rows(spark.createDataFrame([(1, [("user", "q", 1), ("assistant", "a", 2)], "x")], "conv_id int, messages array<struct<role:string,content:string,weight:int>>, id string")) == qa
+    with pytest.raises(ValueError):
+        chat_format.canonical(spark.createDataFrame([(1, ("x",), "a")], "conv_id int, prompt struct<a:string>, response string"))
     a = spark.createDataFrame([(1, "q", "a")], "conv_id int, prompt string, response string")
     assert chat_format.fingerprint(a) == chat_format.fingerprint(a.select("response", "conv_id", "prompt"))
 
 
 def test_layouts_in_json(spark):
-    texts = ['{"prompt":"q","response":"a"}', '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"output":"a","instruction":"q","input":""}', '{"what":1}', "no json", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "conv_id long, json string")
+    texts = [
+        '{"prompt":"q","response":"a"}', '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"output":"a","instruction":"q","input":""}',
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","text":"a"}],"score":0.5,"id":"x"}', '{"conversations":[{"from":"human","value":"q","weight":1},{"from":"gpt","value":"a"}]}',
+        '{"what":1}', "no json", None, '{"prompt":{"a":"q"},"response":"a"}', '{"messages":[{"role":"user","content":["q"]}]}', '["prompt"]', '{"messages":[{"role":"user","content":"q"},{"from":"gpt","value":"a"}],"prompt":"q"}', '{"messages":[{"role":"user","content":"q"},{"from":"gpt","value":"a"}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "conv_id long, json string").withColumns({"_v": F.lit(1), "_print": F.lit(2)})
     got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat_format.canonical_json(df).collect())
-    assert got == [(i, t, r, x) for i in range(3) for t, r, x in ((0, "user", "q"), (1, "assistant", "a"))]
-    assert sorted(r.conv_id for r in chat_format.unknown(df).collect()) == [3, 4, 5]
+    assert got == [(i, t, r, x) for i in range(5) for t, r, x in ((0, "user", "q"), (1, "assistant", "a"))]
+    left = chat_format.unknown(df)
+    assert left.columns == df.columns and sorted(r.conv_id for r in left.collect()) == list(range(5, 13))
+    assert chat_format.canonical_json(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("units", [1, 7, 8, 9, 64, 65, 130])
