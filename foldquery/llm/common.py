@@ -18,6 +18,7 @@ WORD_BREAK = "\x20\x09\x0a\x0b\x0c\x0d"
 
 _written: dict[str, SparkSession] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +40,18 @@ def _own_dir() -> str:
 
 
 @contextmanager
-def _shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """Queries run here delete their shuffle files when they end, and not when the driver happens to collect garbage."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _frugal(spark: SparkSession) -> Iterator[None]:
+    """Queries run here delete their shuffle files when they end, and not when the driver happens to collect garbage; and
+    texts go to Python in batches of some megabytes."""
+    with_ = {_CLEANUP: "true", _BATCH: _ROWS}
+    before = {k: spark.conf.get(k, None) for k in with_}
     try:
+        for k, v in with_.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, what: str = "step") -> DataFrame:
@@ -56,7 +61,7 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foldquery-{what}-{uuid.uuid4().hex}"
-    with _shuffles_end(spark):
+    with _frugal(spark):
         df.write.parquet(path)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,7 @@ and of the benchmark only the bit table does.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldquery.llm.common import forget, shingle_hashes, table, unused, written
+from foldquery.llm.common import ODD, forget, mixed, table, unused, written
 
 WINDOW, COVER, AGREE = 5, 0.8, 0.8
 _CORE = re.compile(r"^\W+|\W+$")
@@ -39,26 +40,49 @@ _JOINED = re.compile(r"([+-]?\d[\d.,]*)([a-z%°]+)$")
 # Words for numbers, and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
 UNIT_WORDS = frozenset("m cm mm km kilometer kilometers kilometre kilometres meter meters metre metres mile miles foot feet inch inches yard yards g kg mg gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent kmh mph degree degrees celsius fahrenheit joule joules watt watts volt volts % °".split())
+_SPECIAL = NUMBER_WORDS | UNIT_WORDS
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _PLAIN = np.uint64(0x5555555555555555)  # keeps keys of very words apart from those of templates
 _SLOT = {NUMBER: "\x00number", NAME: "\x00name", UNIT: "\x00unit"}
 
 
+_MARKS = ".,;:!?\"'()[]{}<>-*_/"
+
+
+def bare(word: str) -> str:
+    """The word without what stands around its letters and digits; the word itself if it has none."""
+    inner = word if word.isalnum() else word.strip(_MARKS)
+    if not inner.isalnum():
+        inner = _CORE.sub("", word)
+    return inner or word
+
+
 def _kind(word: str) -> tuple[str, int, bool, bool]:
     """(literal form or slot marker, kind, capitalised, ends a sentence)."""
-    core = _CORE.sub("", word) or word
-    low = core.lower()
-    end = word.rstrip("\"')]}»”").endswith((".", "!", "?", ":"))
-    if _NUMBER.match(low) or low in NUMBER_WORDS:
+    inner = bare(word)
+    low = inner.lower()
+    end = not word[-1].isalnum() and word.rstrip("\"')]}»”").endswith((".", "!", "?", ":"))
+    if not low[0].isalpha() and _NUMBER.match(low) or low in NUMBER_WORDS:
         return _SLOT[NUMBER], NUMBER, False, end
-    if low in UNIT_WORDS or ((m := _JOINED.match(low)) and m[2] in UNIT_WORDS):
+    if low in UNIT_WORDS or not low[0].isalpha() and (m := _JOINED.match(low)) and m[2] in UNIT_WORDS:
         return _SLOT[UNIT], UNIT, False, end
-    return low, LITERAL, core[:1].isupper(), end
+    return low, LITERAL, inner[0].isupper(), end
+
+
+def _windows_at(h: np.ndarray, at: np.ndarray | slice, n: int, k: int) -> np.ndarray:
+    """Numbers of the windows of k words at the given places of n."""
+    whole = isinstance(at, slice)
+    out = h[:n].copy() if whole else h[at]
+    with np.errstate(over="ignore"):
+        for j in range(1, k):
+            out *= ODD
+            out += h[j : j + n] if whole else h[at + j]
+        return mixed(out + np.uint64(k))
 
 
 @dataclass
 class Reading:
-    """A text's words, their numbers in three readings, their kinds in the first two, and which begin a sentence or line."""
+    """The words of one or several texts, their numbers in three readings, their kinds in the first two, and their texts."""
 
     words: list[str]
     first: np.ndarray
@@ -66,50 +90,54 @@ class Reading:
     plain: np.ndarray
     kinds: np.ndarray
     names: np.ndarray
-    starts: np.ndarray
+    text: np.ndarray
 
-    def keys(self, k: int) -> list[np.ndarray]:
-        """For each reading the keys of all windows of k words; 0 where the reading has none."""
+    def keys(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, keys) of the windows of k words inside one text, for each reading."""
         n = len(self.words) - k + 1
         if n < 1:
             return []
+        inside = self.text[k - 1 :] == self.text[:n]
         if k < WINDOW:
-            return [shingle_hashes(self.plain, k) ^ _PLAIN]
-        here = np.concatenate([[0], np.cumsum(self.names == LITERAL)])
-        literal = here[k:] - here[:-k]
-        a, b = shingle_hashes(self.first, k), shingle_hashes(self.second, k)
-        at = np.concatenate([[0], np.cumsum(self.kinds == LITERAL)])
-        a[at[k:] - at[:-k] < 2] = 0
-        b[literal < 2] = 0
-        out = [a, np.where(a == b, np.uint64(0), b)]
-        if (bare := literal < 2).any():
-            out.append(np.where(bare, shingle_hashes(self.plain, k) ^ _PLAIN, np.uint64(0)))
-        return out
+            at = np.flatnonzero(inside)
+            return [(at, _windows_at(self.plain, at, n, k) ^ _PLAIN)]
+        count = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int32)]))[k:] - c[:-k]
+        literal = count(self.names == LITERAL)
+        ones = np.flatnonzero(inside & (count(self.kinds == LITERAL) >= 2))
+        twos = np.flatnonzero(inside & (literal >= 2) & (count(self.first != self.second) > 0))
+        bare = np.flatnonzero(inside & (literal < 2))
+        out = [(ones, _windows_at(self.first, slice(None), n, k)[ones]), (twos, _windows_at(self.second, twos, n, k))]
+        return [*out, (bare, _windows_at(self.plain, bare, n, k) ^ _PLAIN)] if len(bare) else out
 
 
 class Templates:
     """Texts to readings. Remembers a bounded number of words."""
 
-    def __init__(self, room: int = 300_000):
+    def __init__(self, room: int = 400_000):
         import xxhash
 
-        self.number = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
-        self.room, self.name = room, np.uint64(self.number(_SLOT[NAME]))
+        self.digest = xxhash.xxh3_64_intdigest
+        self.room, self.name = room, np.uint64(self.digest(_SLOT[NAME].encode()))
         self._start()
 
     def _start(self) -> None:
         self.at: dict[str, int] = {}
-        self.hashes, self.plain, self.flags = np.zeros(self.room + 1, np.uint64), np.zeros(self.room + 1, np.uint64), np.zeros(self.room + 1, np.uint8)
-
-    def _add(self, word: str) -> int:
-        i = self.at[word] = len(self.at)
-        form, kind, capital, end = _kind(word)
-        self.hashes[i], self.flags[i] = self.number(form), kind | capital << 2 | end << 3
-        self.plain[i] = self.hashes[i] if kind == LITERAL else self.number(core(word))
-        return i
-
-    def __call__(self, text: str) -> Reading:
-        words = text.split()
+        self.hashes, self.plain, self.flags = array("Q"), array("Q"), array("B")
+
+    def _add(self, word: str) -> None:
+        self.at[word] = len(self.at)
+        if word.isalpha() and (low := word.lower()) not in _SPECIAL:  # most words, at once
+            form, kind, capital, end = low, LITERAL, word[0].isupper(), False
+        else:
+            form, kind, capital, end = _kind(word)
+        h = self.digest(form.encode("utf-8", "surrogatepass"))
+        self.hashes.append(h)
+        self.plain.append(h if kind == LITERAL else self.digest(core(word).encode("utf-8", "surrogatepass")))
+        self.flags.append(kind | capital << 2 | end << 3)
+
+    def __call__(self, *texts: str) -> Reading:
+        parts = [t.split() for t in texts]
+        words = parts[0] if len(parts) == 1 else [w for p in parts for w in p]
         if len(self.at) + 1 >= self.room:
             self._start()
         found: list[list[np.ndarray]] = [[np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint8)]]
@@ -117,20 +145,23 @@ class Templates:
             part = words[a : a + 100_000]
             if len(self.at) + len(part) >= self.room:
                 self._start()
-            at = self.at
-            idx = np.array([i if (i := at.get(w)) is not None else self._add(w) for w in part], dtype=np.int64)
-            found.append([self.hashes[idx], self.plain[idx], self.flags[idx]])
-        h, plain, f = (np.concatenate(x) for x in zip(*found, strict=True))
+            for w in set(part).difference(self.at):
+                self._add(w)
+            idx = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+            found.append([np.frombuffer(x, t)[idx] for x, t in ((self.hashes, np.uint64), (self.plain, np.uint64), (self.flags, np.uint8))])
+        h, plain, f = (np.concatenate(x) if len(found) > 2 else x[-1] for x in zip(*found, strict=True))
+        text = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         kinds = f & 3
         starts = np.ones(len(f), bool)
-        starts[1:] = (f[:-1] & 8) > 0
+        starts[1:] = ((f[:-1] & 8) > 0) | (text[1:] != text[:-1])
         capital = ((f & 4) > 0) & (kinds == LITERAL)
+        second = np.where(capital, self.name, h)
         named = capital & ~starts
-        return Reading(words, np.where(named, self.name, h), np.where(capital, self.name, h), plain, np.where(named, NAME, kinds), np.where(capital, NAME, kinds), starts)
+        return Reading(words, np.where(named, self.name, h), second, plain, np.where(named, NAME, kinds), np.where(capital, NAME, kinds), text)
 
 
 def core(word: str) -> str:
-    return (_CORE.sub("", word) or word).lower()
+    return bare(word).lower()
 
 
 def _sentences(text: str) -> list[tuple[str, ...]]:
@@ -152,15 +183,15 @@ def compare(text: Reading, item: Reading) -> tuple[float, bool] | None:
     """(share of the item's words that the text covers, fillings differ) of the best run of hits that holds; None without."""
     n, k = len(item.words), WINDOW
     where: dict[int, set[int]] = defaultdict(set)
-    for keys in item.keys(k):
-        for i, w in enumerate(keys.tolist()):
-            if w:
-                where[w].add(i)
+    for at, keys in item.keys(k):
+        for i, w in zip(at.tolist(), keys.tolist(), strict=True):
+            where[w].add(i)
     wanted = np.fromiter(where, np.uint64, len(where))
     hits: set[tuple[int, int, int]] = set()
-    for keys in text.keys(k):
-        for j in np.flatnonzero(np.isin(keys, wanted)).tolist():
-            hits |= {(j - i, i, j) for i in where[int(keys[j])]}
+    for at, keys in text.keys(k):
+        for x in np.flatnonzero(np.isin(keys, wanted)).tolist():
+            j = int(at[x])
+            hits |= {(j - i, i, j) for i in where[int(keys[x])]}
     found = sorted(hits)
     slack, a = n // 8 + 2, 0
     best: tuple[float, bool] | None = None
@@ -187,7 +218,7 @@ def _fillings(text: Reading, item: Reading, run: list[tuple[int, int, int]]) ->
     for _, i, j in run:
         for x in range(WINDOW):
             if (kind := int(item.names[i + x])) != LITERAL:
-                p, q = _CORE.sub("", item.words[i + x]), _CORE.sub("", text.words[j + x])
+                p, q = bare(item.words[i + x]), bare(text.words[j + x])
                 fill[kind, p][i + x] = q
                 back[kind, q][j + x] = p
                 differ |= p != q
@@ -206,7 +237,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(r.words)
             k = min(WINDOW, n)
             if n:
-                rows += [(w, item, k, n, c) for w, c in Counter(w for keys in r.keys(k) for w in keys.view(np.int64).tolist() if w).items()]
+                rows += [(w, item, k, n, c) for w, c in Counter(w for _, keys in r.keys(k) for w in keys.view(np.int64).tolist()).items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["w", "item", "k", "n", "times"])
 
 
@@ -220,19 +251,23 @@ def _looked_up(shared, widths: list[int], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, read = np.frombuffer(shared.value, np.uint8), Templates()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = []
-                for text in part.column(2).to_pylist():
-                    r, own = read(text), []
-                    for k in widths:
-                        for keys in r.keys(k):
-                            s = _slot(keys, bits)
-                            own.append(keys[(there[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 > 0])
-                    w = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
-                    found.append(w[w != 0])
-                owner = pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found]))
-                yield pa.record_batch([part.column(0).take(owner), part.column(1).take(owner), pa.array(np.concatenate(found).view(np.int64))], ["k1", "k2", "w"])
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                r = read(*part.column(2).to_pylist())
+                rows, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                for k in widths:
+                    for where, keys in r.keys(k):
+                        s = _slot(keys, bits)
+                        hit = np.flatnonzero((there[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1)
+                        rows.append(r.text[where[hit]].astype(np.int64))
+                        found.append(keys[hit])
+                owner, w = np.concatenate(rows), np.concatenate(found)
+                order = np.lexsort((w, owner))
+                owner, w = owner[order], w[order]
+                new = np.ones(len(w), bool)
+                new[1:] = (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])
+                owner = pa.array(owner[new])
+                yield pa.record_batch([part.column(0).take(owner), part.column(1).take(owner), pa.array(w[new].view(np.int64))], ["k1", "k2", "w"])
 
     return run
 
