@@ -22,7 +22,9 @@ def main() -> None:
     engine = Engine(spark, a.root)
     rows = sequence_files(spark, a.sequence).withColumnRenamed("path", "seq_id") if a.call == "scan-file" else literal(spark, a.sequence)
     out = engine.filter(rows, a.ss, a.pos_var) if a.call == "filter" else engine.scan(rows, a.ss, a.pos_var)
-    out.show(1000, truncate=False)
+    print(*out.columns, sep="\t")
+    for row in out.toLocalIterator():  # every row, one task's at a time
+        print(*row, sep="\t")
 
 
 if __name__ == "__main__":

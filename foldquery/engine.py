@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldquery.functions.energy import Tables, fe_turner
-from foldquery.functions.render import hit_string
+from foldquery.functions.render import counted_from, hit_string
 from foldquery.operators import store as ops
 from foldquery.operators.regions import regions
 from foldquery.plans.cssd import join, parse, split, validate
 from foldquery.plans.search import search
-from foldquery.sources.sinks import Store, sequence_errors
+from foldquery.sources.sinks import SCHEMAS, Store, one_id, sequence_errors
 
 
 class RequestError(ValueError):
@@ -26,12 +26,14 @@ class Engine:
 
     def scan(self, sequences: DataFrame, ss: str, pos_var: str = "") -> DataFrame:
         """sequences (seq_id, nt) to hits with energy and bracket string."""
-        hits = search(sequences, parse(ss, pos_var)).join(sequences.select("seq_id", "nt"), "seq_id")
-        return self._finished(hits)
+        return self._finished(search(sequences, parse(ss, pos_var), context=4))
 
     def _finished(self, hits: DataFrame) -> DataFrame:
-        fe = fe_turner(F.col("nt"), F.col("chain"), F.col("constraints"), self.tables)
-        return hits.withColumn("fe", fe).withColumn("hit_string", hit_string(F.col("chain"), F.col("constraints"))).drop("nt")
+        near = counted_from(hits, "around_start").withColumn("fe", fe_turner(F.col("around"), F.col("chain"), F.col("constraints"), self.tables))
+        near = near.withColumn("hit_string", hit_string(F.col("chain"), F.col("constraints")))
+        back = lambda c, keys, rest: F.transform(c, lambda x: F.struct(*((x[k] + F.col("around_start") - 1 if k in keys else x[k]).alias(k) for k in rest)))
+        near = near.withColumns({"chain": back("chain", ("fp", "tp"), ("el", "fp", "tp", "len")), "constraints": back("constraints", ("start",), ("constraint", "role", "start", "len"))})
+        return near.drop("around", "around_start")
 
     def filter(self, sequences: DataFrame, ss: str, pos_var: str = "") -> DataFrame:
         return regions(sequences, parse(ss, pos_var))
@@ -42,14 +44,30 @@ class Engine:
         row = self.spark.createDataFrame([(accession, definition, nt, group, ref_id)], "accession string, definition string, seqnt string, group string, ref_id long")
         if error := sequence_errors(row).first().error:
             raise RequestError(error)
-        self.store.append("sequences", row)
-        return self.store.read("sequences").where((F.col("accession") == accession) & (F.col("ref_id") == ref_id)).first()._id
+        return self._insert("sequences", row, "a sequence with this accession or definition")
+
+    def _insert(self, name: str, row: DataFrame, what: str) -> str:
+        """Adds one row and tells its id; refused if one of its unique keys is taken."""
+        id_ = one_id()
+        self.store.append(name, row.withColumn("_id", F.lit(id_)))
+        if self.store.read(name).where(F.col("_id") == id_).isEmpty():
+            raise RequestError(f"there is {what} already")
+        return id_
 
     def create_cssd(self, name: str, ss: str, pos_var: str, ref_id: int, published: bool = False) -> str:
         if error := validate(ss, pos_var):
             raise RequestError(error)
-        self.store.append("cs", self.spark.createDataFrame([(join(ss, pos_var), name, ref_id, published)], "cs string, name string, ref_id long, published boolean"))
-        return self.store.read("cs").where((F.col("name") == name) & (F.col("ref_id") == ref_id)).first()._id
+        row = self.spark.createDataFrame([(join(ss, pos_var), name, ref_id, published)], "cs string, name string, ref_id long, published boolean")
+        return self._insert("cs", row, "a pattern of this name or text")
+
+    def create_user(self, name: str, sub_id: str) -> int:
+        """The new user's ref_id, one more than the largest."""
+        last = self.store.read("users").agg(F.max("ref_id")).first()[0] or 0
+        self._insert("users", self.spark.createDataFrame([(name, sub_id, last + 1)], "name string, sub_id string, ref_id long"), "a user of this subject")
+        return last + 1
+
+    def user(self, sub_id: str) -> DataFrame:
+        return self.store.read("users").where(F.col("sub_id") == sub_id)
 
     def update_cssd(self, cssd_id: str, ref_id: int, **values) -> None:
         if "cs" in values and (error := validate(*split(values["cs"]))):
@@ -57,16 +75,17 @@ class Engine:
         self.store.update("cs", (F.col("_id") == cssd_id) & (F.col("ref_id") == ref_id), **values)
 
     def create_job(self, sequence_id: str, cssd_id: str, ref_id: int) -> str:
-        """Runs a stored pattern over a stored sequence and keeps the hits."""
+        """Runs a stored pattern over a stored sequence; the hits are kept first, then the job as done. A search that fails
+        leaves no job."""
         sequence = self.store.read("sequences").where(F.col("_id") == sequence_id)
         cs = self.store.read("cs").where(F.col("_id") == cssd_id).first()
         if cs is None or sequence.isEmpty():
             raise RequestError("no such sequence or pattern")
+        job_id = one_id()
         hits = self.scan(sequence.select(F.col("_id").alias("seq_id"), F.col("seqnt").alias("nt")), *split(cs.cs))
-        self.store.append("jobs", self.spark.createDataFrame([(sequence_id, cssd_id, ops.DONE, 0, 1, 1, 0, ref_id)], "sequence_id string, cssd_id string, status int, error int, num_windows int, num_windows_success int, num_windows_fail int, ref_id long"))
-        mine = (F.col("sequence_id") == sequence_id) & (F.col("cssd_id") == cssd_id) & (F.col("ref_id") == ref_id)
-        job_id = ops.newest(self.store.read("jobs").where(mine)).first()._id
         self.store.append("results", hits.select(F.lit(job_id).alias("job_id"), F.lit(None).cast("double").alias("time"), "position", "fe", "hit_string", F.lit(ref_id).alias("ref_id")))
+        job = [(job_id, sequence_id, cssd_id, ops.DONE, 0, 1, 1, 0, ref_id)]
+        self.store.append("jobs", self.spark.createDataFrame(job, SCHEMAS["jobs"]))
         return job_id
 
     def sequences(self, ref_id: int, start: int = 1, limit: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KNOTS = ("[]", "{}")
@@ -66,3 +66,12 @@ def hit_line(*columns: str) -> Column:
 def hit_dump(chain: str = "chain") -> Column:
     """fp,tp(len) -> ... in chain order."""
     return F.array_join(F.transform(chain, lambda h: F.concat(h["fp"].cast("string"), F.lit(","), h["tp"].cast("string"), F.lit("("), h["len"].cast("string"), F.lit(")"))), " -> ")
+
+
+def counted_from(hits: DataFrame, first: str) -> DataFrame:
+    """hits with the places in chain and constraints counted from the column `first`, which is place 1."""
+    shifted = lambda column, places, rest: F.transform(column, lambda x: F.struct(*((x[k] - F.col(first) + 1 if k in places else x[k]).alias(k) for k in rest)))
+    return hits.withColumns({
+        "chain": shifted("chain", ("fp", "tp"), ("el", "fp", "tp", "len")),
+        "constraints": shifted("constraints", ("start",), ("constraint", "role", "start", "len")),
+    })

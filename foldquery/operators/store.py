@@ -12,6 +12,7 @@ KEYS = {
     "cs": [("cs", "ref_id"), ("name", "ref_id")],
     "results": [("job_id", "position", "hit_string")],
     "sequences": [("accession", "ref_id"), ("definition", "ref_id")],
+    "users": [("sub_id",), ("ref_id",)],
 }
 
 
@@ -79,8 +80,13 @@ def job_state(filter_done: Column, n: Column, ok: Column, fail: Column) -> Colum
 
 
 def next_ids(df: DataFrame, last: int, order: str) -> DataFrame:
-    """df with ids that go on from last, in the given order; numbered by partition, without moving all rows to one."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    """df with ids that go on from last, in the given order; numbered by partition, without moving all rows to one.
+
+    The number of partitions is given, so that both readers of the numbered rows see the same ones. Equal rows get ids in
+    any order among them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
     numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))

@@ -108,28 +108,30 @@ def windows(sequences: DataFrame, span: int, margin: int = 0, step: int | None =
     """
     step = step or min(512, max(64, 2 * (span + margin)))  # each position's row carries its window
     cut = f"""transform(sequence(0, (size(a) - 1) div {step}), k -> named_struct('left', least({margin}, k * {step}), 'k', k))"""
-    part = f"""transform({cut}, x -> named_struct('b', slice(a, x.k * {step} - x.left + 1, x.left + {step} + {max(0, span - 1)}), 'off', x.k * {step} - x.left, 'left', x.left))"""
-    df = sequences.select(F.col(id_col), codes(F.col(nt_col)).alias("a")).where(F.size("a") > 0)
-    df = df.select(id_col, F.explode(F.expr(part)).alias("w")).select(id_col, "w.b", "w.off", "w.left")
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if 0 < sequences._jdf.inputFiles().__len__() < wanted:
-        df = df.repartition(wanted)  # a table of few files would be searched by as few tasks
+    part = f"""transform({cut}, x -> named_struct('b', slice(a, x.k * {step} - x.left + 1, x.left + {step} + {max(0, span - 1)}), 'off', cast(x.k * {step} - x.left as int), 'left', cast(x.left as int)))"""
+    df = sequences.select(F.col(id_col), codes(F.col(nt_col)).alias("a"))
+    df = df.select(id_col, F.explode(F.expr(f"if(size(a) > 0, {part}, array())")).alias("w")).select(id_col, "w.b", "w.off", "w.left")
     return df.select(id_col, "b", "off", F.explode(F.expr(f"sequence(left + 1, least(left + {step}, size(b)))")).alias("cur"))
 
 
-def search(sequences: DataFrame, model: Model | tuple[str, str] | str, id_col: str = "seq_id", nt_col: str = "nt") -> DataFrame:
+def search(sequences: DataFrame, model: Model | tuple[str, str] | str, id_col: str = "seq_id", nt_col: str = "nt", context: int | None = None) -> DataFrame:
     """Every placement of the pattern in every sequence.
 
     Columns: the id, fp and tp of the outermost pair (0, 0 where nothing encloses the start), position (the first residue
     of a helix or constraint), end_position, chain (array of el, fp, tp, len by helix; an absent helix is left out) and
     constraints (array of constraint, role, start, len). Null sequences have no hits; residues other than acgu pair with none.
+    With context, also around (the hit's residues and up to so many on either side, n for others than acgu) and
+    around_start (the place of its first); they come from the hit's window, so nobody has to join sequences to hits.
+
+    The rows of `sequences` stay in the tasks that read them. Where a few tasks read many short sequences, spread them first
+    (sources.files.spread); long ones are cut into windows anyway.
     """
     if not isinstance(model, Model):
         model = parse(*((model, "") if isinstance(model, str) else model))
     steps = _steps(model)
     reach = [model._reach(t)[1] for t in steps]
     margin = sum(reach) if any(h.low == 0 for h in model.helices) else 0
-    df = windows(sequences, sum(reach) + margin, margin, id_col=id_col, nt_col=nt_col)
+    df = windows(sequences, sum(reach) + margin + (context or 0), margin + (context or 0), id_col=id_col, nt_col=nt_col)
     optional = False
     laid: set[str] = set()
     first = True
@@ -184,7 +186,11 @@ def search(sequences: DataFrame, model: Model | tuple[str, str] | str, id_col: s
     starts = "concat(transform(chain, x -> x.fp), transform(filter(constraints, x -> x.len > 0), x -> x.start))"
     ends = "concat(transform(chain, x -> x.tp + x.len - 1), transform(filter(constraints, x -> x.len > 0), x -> x.start + x.len - 1))"
     outer = [F.lit(0), F.lit(0)] if model.wrapped else [F.expr(f"fp{hs[0]} + off"), F.expr(f"tp{hs[0]} + off")]
-    out = df.select(id_col, outer[0].alias("fp"), outer[1].alias("tp"), F.expr(f"array_min({starts})").alias("position"), F.expr(f"array_max({ends})").alias("end_position"), "chain", "constraints")
+    out = df.select(id_col, outer[0].alias("fp"), outer[1].alias("tp"), F.expr(f"array_min({starts})").alias("position"), F.expr(f"array_max({ends})").alias("end_position"), "chain", "constraints", *(["b", "off"] if context is not None else []))
+    if context is not None:
+        out = out.withColumn("around_start", F.expr(f"greatest(position - off - {context}, 1)"))
+        letters = "array_join(transform(slice(b, around_start, end_position - off + {0} - around_start + 1), x -> case x when 1 then 'a' when 2 then 'c' when 4 then 'g' when 8 then 'u' else 'n' end), '')".format(context)
+        out = out.withColumn("around", F.expr(letters)).withColumn("around_start", F.expr("around_start + off")).drop("b", "off")
     return out.distinct() if optional else out
 
 

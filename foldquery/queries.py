@@ -212,10 +212,9 @@ def seq_hash(spark, d):
 
 @query("hit_span", f"SELECT h.seq_id, h.position || ' - ' || h.end_position AS span, substr(rna.nt, h.position, h.end_position - h.position + 1) AS matched FROM ({variants_sql(*PATTERNS['search_junction'])}) h JOIN (SELECT doc_id AS seq_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'acguacguacguacguacguacguac') AS nt FROM documents) rna USING (seq_id)")
 def hit_span(spark, d):
-    """Each hit with its place and the residues there (the join of hits to their sequences)."""
-    rna = rna_from_documents(spark, d)
-    hits = search(rna, PATTERNS["search_junction"]).join(rna, "seq_id")
-    return hits.select("seq_id", F.concat_ws(" - ", F.col("position").cast("string"), F.col("end_position").cast("string")).alias("span"), F.expr("substring(nt, position, end_position - position + 1)").alias("matched"))
+    """Each hit with its place and the residues there, which come with the hit."""
+    hits = search(rna_from_documents(spark, d), PATTERNS["search_junction"], context=0)
+    return hits.select("seq_id", F.concat_ws(" - ", F.col("position").cast("string"), F.col("end_position").cast("string")).alias("span"), F.col("around").alias("matched"))
 
 
 @query("fe_round", f"WITH {RESULTS} SELECT _id, round(fe, 2) AS fe FROM results")
@@ -637,15 +636,9 @@ def fe_simple(spark, d):
 
 
 def _with_residues(spark, d, pattern) -> DataFrame:
-    """Hits with nt, the residues from the hit's first on, and chain and constraints counted from there."""
-    rna = rna_from_documents(spark, d)
-    hits = search(rna, pattern).join(rna, "seq_id")
-    shift = lambda c, keys: F.expr(f"transform({c}, x -> named_struct({', '.join(keys)}))")
-    return hits.select(
-        "seq_id", F.col("fp").alias("first_fp"), F.col("position"), F.expr("substring(nt, greatest(position - 3, 1), end_position - position + 8)").alias("nt"),
-        shift("chain", ["'el', x.el", "'fp', x.fp - greatest(position - 3, 1) + 1", "'tp', x.tp - greatest(position - 3, 1) + 1", "'len', x.len"]).alias("chain"),
-        shift("constraints", ["'constraint', x.constraint", "'role', x.role", "'start', x.start - greatest(position - 3, 1) + 1", "'len', x.len"]).alias("constraints"),
-    )
+    """Hits with nt, the residues about the hit, and chain and constraints counted from there."""
+    hits = search(rna_from_documents(spark, d), pattern, context=4)
+    return render.counted_from(hits.withColumnsRenamed({"fp": "first_fp", "around": "nt"}), "around_start")
 
 
 @query("fe_turner")
@@ -713,9 +706,8 @@ def pred_stack(spark, d):
 @query("constraint_text", f"SELECT h.seq_id, h.position, substr(rna.nt, h.position + 4, 3) AS five, substr(rna.nt, h.position + 14, 3) AS three FROM ({variants_sql(*PATTERNS['search_pseudoknot'])}) h JOIN (SELECT doc_id AS seq_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'acguacguacguacguacguacguac') AS nt FROM documents) rna USING (seq_id)")
 def constraint_text(spark, d):
     """The residues of a pseudoknot's strands."""
-    rna = rna_from_documents(spark, d)
-    hits = search(rna, PATTERNS["search_pseudoknot"]).join(rna, "seq_id")
-    strand = lambda role: F.expr(f"substring(nt, filter(constraints, s -> s.role = '{role}')[0].start, filter(constraints, s -> s.role = '{role}')[0].len)")
+    hits = search(rna_from_documents(spark, d), PATTERNS["search_pseudoknot"], context=0)
+    strand = lambda role: F.expr(f"substring(around, filter(constraints, s -> s.role = '{role}')[0].start - around_start + 1, filter(constraints, s -> s.role = '{role}')[0].len)")
     return hits.select("seq_id", "position", strand("fp").alias("five"), strand("tp").alias("three"))
 
 

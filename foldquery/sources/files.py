@@ -32,7 +32,12 @@ def collection(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The rows dealt over so many tasks (as many as the session runs at once, if None), whatever the number of files."""
+    return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)
+
+
 def rna_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, nt): the whole text of each document as a made-up sequence."""
-    docs = collection(spark, sf_dir, "documents")
+    """(seq_id, nt): the whole text of each document as a made-up sequence, spread over all tasks."""
+    docs = spread(collection(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("seq_id"), from_letters(F.col("text"), 2**31 - 1).alias("nt"))

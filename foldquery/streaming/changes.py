@@ -1,4 +1,4 @@
-"""Changes of jobs and results as streams over the files that are added to their tables."""
+"""Changes of stored tables as streams: of rows added to a table, and of everything the store does."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from foldquery.sources.sinks import SCHEMAS
+
 
 def changes(spark: SparkSession, path: str, schema: str, collection: str, files_a_batch: int = 100) -> DataFrame:
     """(op, _id, ref_id, collection) of every row added to a table from now on."""
@@ -15,6 +17,12 @@ def changes(spark: SparkSession, path: str, schema: str, collection: str, files_
     return rows.select(F.lit("insert").alias("op"), "_id", "ref_id", F.lit(collection).alias("collection"))
 
 
+def all_changes(spark: SparkSession, root: str, files_a_batch: int = 100) -> DataFrame:
+    """(op, _id, ref_id, collection) of every insert, update and delete of a store from now on."""
+    rows = spark.readStream.schema(SCHEMAS["changes"]).option("maxFilesPerTrigger", files_a_batch).parquet(f"{root.rstrip('/')}/changes")
+    return rows.select("op", F.col("row_id").alias("_id"), "ref_id", "collection")
+
+
 def for_user(events: DataFrame, ref_id: int | None) -> DataFrame:
     """What one user sees; None sees all."""
     return events if ref_id is None else events.where(F.col("ref_id") == ref_id)

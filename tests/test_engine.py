@@ -5,7 +5,7 @@ from foldquery.engine import Engine, RequestError
 from foldquery.operators import store
 from foldquery.sources.files import fasta, sequence_files
 from foldquery.sources.sinks import SCHEMAS
-from foldquery.streaming.changes import changes, deliver, for_user, running_counters
+from foldquery.streaming.changes import all_changes, changes, deliver, for_user, running_counters
 
 
 def test_service(spark, tmp_path):
@@ -26,7 +26,11 @@ def test_service(spark, tmp_path):
         e.create_cssd("bad", "<<___>", "", 7)
     with pytest.raises(RequestError):
         e.create_sequence("virus", "a made-up sequence", "ACC2", "xyz", 7)
-    e.create_sequence("virus", "another definition", "ACC1", "gggaaaccc", 7)  # the accession is there already
+    for taken in (("another definition", "ACC1"), ("a made-up sequence", "ACC9")):
+        with pytest.raises(RequestError):
+            e.create_sequence("virus", *taken, "gggaaaccc", 7)
+    with pytest.raises(RequestError):
+        e.create_cssd("another", "<<<___>>>", "1", 7)
     assert e.sequences(7).count() == 1
     e.delete_job_with_results(job, 7)
     assert e.results(job).count() == 0 and e.job(job).count() == 0
@@ -34,6 +38,47 @@ def test_service(spark, tmp_path):
     assert e.sequences(7).count() == 0
 
 
+def test_jobs(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "store"))
+    s, c = e.create_sequence("virus", "a made-up sequence", "ACC1", "gggaaaccc", 7), e.create_cssd("stem", "<<<___>>>", "1", 7)
+    jobs = [e.create_job(s, c, 7) for _ in range(5)]
+    assert jobs == sorted(set(jobs)) and all(e.results(j).count() == 2 for j in jobs)
+    assert [r._id for r in e.jobs(7).collect()] == jobs[::-1]
+
+    def fails(*_):
+        raise RuntimeError("no search")
+
+    monkeypatch.setattr(e, "scan", fails)
+    with pytest.raises(RuntimeError):
+        e.create_job(s, c, 7)
+    assert e.jobs(7).count() == 5
+
+
+def test_users(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    assert [e.create_user(n, f"sub-{n}") for n in ("ann", "bob")] == [1, 2]
+    with pytest.raises(RequestError):
+        e.create_user("eve", "sub-ann")
+    assert e.user("sub-bob").first().ref_id == 2
+
+
+def test_a_broken_rewrite_is_mended(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    e.create_user("ann", "sub-ann")
+    (tmp_path / "users").rename(tmp_path / "users.new")
+    assert e.user("sub-ann").count() == 1
+
+
+def test_all_changes(spark, tmp_path):
+    root, seen = str(tmp_path / "store"), []
+    e = Engine(spark, root)
+    c = e.create_cssd("stem", "<<<___>>>", "1", 7)
+    e.update_cssd(c, 7, name="renamed")
+    e.delete_cssd(c, 7)
+    deliver(for_user(all_changes(spark, root), 7), lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"), once=True).awaitTermination()
+    assert sorted((r.op, r._id, r.collection) for r in seen) == [(op, c, "cs") for op in ("delete", "insert", "update")]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "one.txt").write_text("GGG AAA\n12 TTT\n")
     assert sequence_files(spark, str(tmp_path / "one.txt")).first().nt == "gggaaauuu"
