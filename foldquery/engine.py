@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldquery.functions.energy import Tables, fe_turner
-from foldquery.functions.render import counted_from, hit_string
+from foldquery.functions.energy import Tables, fe_turner, turner_udf
+from foldquery.functions.render import counted_from, hit_string, paint_udf
 from foldquery.operators import store as ops
 from foldquery.operators.regions import regions
 from foldquery.plans.cssd import join, parse, split, validate
@@ -18,6 +18,12 @@ class RequestError(ValueError):
     """A call is refused; the text says why."""
 
 
+def register(spark: SparkSession, tables: Tables | None = None) -> None:
+    """Makes rna_fe(nt, chain, constraints) and rna_hit_string(chain, constraints) known to SQL."""
+    spark.udf.register("rna_fe", turner_udf(tables))
+    spark.udf.register("rna_hit_string", paint_udf())
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, tables: Tables | None = None):
         self.spark, self.store, self.tables = spark, Store(spark, root), tables or Tables()

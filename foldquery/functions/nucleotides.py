@@ -17,6 +17,16 @@ def codes(nt: Column) -> Column:
     return F.filter(F.split(marked, ""), lambda x: x != "").cast("array<tinyint>")
 
 
+def cssd_join(ss: str, pos_var: str) -> Column:
+    return F.concat_ws("\n", ss, pos_var)
+
+
+def cssd_split(cs: str) -> tuple[Column, Column]:
+    """The two lines of a stored pattern; the second is empty if there is none."""
+    parts = F.split(cs, "\n", 2)
+    return parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+
+
 def normalize(text: Column) -> Column:
     """Without white space and digits, lower case, t read as u."""
     return F.translate(F.lower(F.regexp_replace(text, r"[\s0-9]+", "")), "t", "u")

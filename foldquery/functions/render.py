@@ -45,8 +45,8 @@ def paint(chain: Sequence, constraints: Sequence = ()) -> str:
     return "".join(out)
 
 
-def hit_string(chain: Column, constraints: Column) -> Column:
-    """The painted hit, in Arrow batches."""
+def paint_udf():
+    """paint() over columns."""
 
     @F.pandas_udf("string")
     def run(chains, parts):
@@ -55,7 +55,12 @@ def hit_string(chain: Column, constraints: Column) -> Column:
         row = lambda xs: [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in (xs if xs is not None else ())]
         return pd.Series([paint(row(c), row(p)) for c, p in zip(chains, parts, strict=True)])
 
-    return run(chain, constraints)
+    return run
+
+
+def hit_string(chain: Column, constraints: Column) -> Column:
+    """The painted hit, in Arrow batches."""
+    return paint_udf()(chain, constraints)
 
 
 def hit_line(*columns: str) -> Column:

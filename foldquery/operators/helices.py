@@ -31,6 +31,31 @@ def enum_helices(sequences: DataFrame, low: int, high: int, near: int, far: int,
     return df.select(id_col, F.expr("cur + off").alias("fp"), F.expr("g.tp + off").alias("tp"), F.col("g.len").alias("len"))
 
 
+class HelixTables:
+    """Helices of one sequence table, kept for the patterns that ask for the same lengths and distances.
+
+    Kept rows spill to the executors' disks and are made again if an executor is lost; drop() lets them go.
+    """
+
+    def __init__(self, sequences: DataFrame, id_col: str = "seq_id"):
+        self.sequences, self.id_col = sequences, id_col
+        self.kept: dict[tuple[int, int, int, int], DataFrame] = {}
+
+    def get(self, low: int, high: int, near: int, far: int) -> DataFrame:
+        key = (low, high, near, far)
+        if key not in self.kept:
+            self.kept[key] = enum_helices(self.sequences, *key, id_col=self.id_col).persist()
+        return self.kept[key]
+
+    def of(self, model: Model, helix: int) -> DataFrame:
+        h = model.helices[helix]
+        return self.get(h.low, h.high, *model.spans[helix])
+
+    def drop(self) -> None:
+        while self.kept:
+            self.kept.popitem()[1].unpersist()
+
+
 def enum_helices_ext(sequences: DataFrame, low: int, high: int, near: int, far: int, intrusion: int, extrusion: int, id_col: str = "seq_id") -> DataFrame:
     """As enum_helices, of helices whose pairing goes on for `intrusion` pairs inside and `extrusion` outside."""
     wide = windows(sequences, 2 * high + far + extrusion, extrusion, id_col=id_col).withColumn("g", F.explode(F.expr(_placements(low, high, near, far, False))))

@@ -15,7 +15,6 @@ PAIRS = {"<": ">", "(": ")"}
 KNOTS = {"[": "]", "{": "}"}
 TRIPLE, SINGLE = "~", "."
 _CLOSING = {v: k for k, v in (PAIRS | KNOTS).items()}
-_NAMES = {"<": "TERM", "(": "MULTI"}
 
 
 class PatternError(ValueError):
@@ -115,6 +114,24 @@ class Model:
         total = lambda part: tuple(map(sum, zip(*[(0, 0), *map(self._reach, part)], strict=True)))
         return {"helix": (self.helices[h].low, self.helices[h].high), "lead": total(self.tokens[:a]), "enclosed": self.spans[h], "trail": total(self.tokens[b + 1 :])}
 
+    def variable_range(self, t: Token) -> int:
+        """How much longer than its least a piece can be."""
+        low, high = self._reach(t)
+        return high - low
+
+    def contained(self) -> list[tuple[int, int, int, int]]:
+        """(outer helix, inner helix, least, greatest distance between their 5' strands) for helices directly in one another."""
+        out, open_ = [], []
+        for i, t in enumerate(self.tokens):
+            if t.kind == "open":
+                if open_:
+                    ranges = [self._reach(x) for x in self.tokens[open_[-1][1] + 1 : i]]
+                    out.append((open_[-1][0], t.ref, sum(r[0] for r in ranges), sum(r[1] for r in ranges)))
+                open_.append((t.ref, i))
+            elif t.kind == "close":
+                open_.pop()
+        return out
+
     def partitions(self, most: int = 10_000_000) -> list[dict[int, int]]:
         """Choices of fixed lengths (token number to length) that together cover the model, each leaving at most `most` ways.
 
@@ -221,6 +238,25 @@ def parse(ss: str, pos_var: str = "") -> Model:
     return Model(tokens, helices, constraints, ss, pos_var.rstrip()).measure()
 
 
+def close_position(ss: str, place: int) -> int:
+    """Where the bracket at a 0-based place closes; -1 for one that doesn't open or never closes."""
+    pair = PAIRS | KNOTS
+    if not 0 <= place < len(ss) or ss[place] not in pair:
+        return -1
+    depth = 0
+    for i in range(place, len(ss)):
+        depth += (ss[i] == ss[place]) - (ss[i] == pair[ss[place]])
+        if not depth:
+            return i
+    return -1
+
+
+def symbols_match(a: str, b: str) -> bool:
+    """Are two bracket strings the same but for the kinds of their free residues and the brackets of stems and junctions?"""
+    plain = str.maketrans("()_,:", "<>---")
+    return a.translate(plain) == b.translate(plain)
+
+
 def split(cssd: str) -> tuple[str, str]:
     """A stored pattern at its first line break."""
     ss, _, pos_var = cssd.partition("\n")
@@ -231,40 +267,40 @@ def join(ss: str, pos_var: str) -> str:
     return f"{ss}\n{pos_var}"
 
 
-def _balance(ss: str, opened: str, closed: str, name: str) -> str | None:
+def _balance(ss: str, opened: str, closed: str) -> str | None:
     depth = 0
     for c in ss:
         depth += (c == opened) - (c == closed)
         if depth < 0:
-            return f"imbalanced number of {name} symbols {opened} and {closed}"
-    return f"imbalanced number of {name} symbols {opened} and {closed}" if depth else None
+            return f"{opened} and {closed} don't balance"
+    return f"{opened} and {closed} don't balance" if depth else None
 
 
 def validate(ss: str, pos_var: str = "") -> str | None:
     """Why a pattern is refused, or None. Checks go from symbols and balance to context and variables."""
     if not ss:
-        return "CS is empty"
+        return "the pattern is empty"
     if len(ss) > MAX_LENGTH:
-        return f"CS is longer than {MAX_LENGTH} symbols"
+        return f"the pattern is longer than {MAX_LENGTH} symbols"
     if pos_var[len(ss) :].strip():
-        return "pos_var symbols extend beyond the CS"
+        return "variables stand past the end of the pattern"
     pos_var = pos_var.ljust(len(ss))[: len(ss)]
     for i, c in enumerate(pos_var, 1):
         if variable(c) < 0:
-            return f'invalid pos_var symbol "{c}" at position {i}'
+            return f"place {i}: {c} is no variable"
     if (ss.count(TRIPLE), ss.count(SINGLE)) not in ((0, 0), (2, 1)):
-        return "BASE TRIPLE requires 2 paired symbols ~ and 1 single symbol ."
+        return "a triple needs two ~ and one ."
     for s in ("(", "<"):
-        if error := _balance(ss, s, PAIRS[s], _NAMES[s]):
+        if error := _balance(ss, s, PAIRS[s]):
             return error
     for s, e in KNOTS.items():
         if ss.count(s) != ss.count(e):
-            return f"imbalanced number of PK symbols {s} and {e}"
+            return f"there are not as many {s} as {e}"
         if s in ss:
             if ss.index(e) < ss.rindex(s):
-                return f"inverted order of PK symbols {s} and {e}"
+                return f"{e} comes before {s}"
             if any(x * ss.count(x) not in ss for x in (s, e)):
-                return f"multiple instances of PK symbol pairs {s} and {e}"
+                return f"{s} or {e} stands in more than one run"
     return _context(ss) or _variables(ss, pos_var)
 
 
@@ -275,18 +311,18 @@ def _context(ss: str) -> str | None:
     brackets = sorted(partner)
     above: list[int] = []  # open brackets
     for i, c in enumerate(ss):
-        where = f"at position {i + 1}"
+        where = f"place {i + 1}"
         inner = ss[above[-1]] if above else ""
         before = next((ss[k] for k in range(i - 1, -1, -1) if ss[k] in "<>()"), "")
         after = next((ss[k] for k in range(i + 1, len(ss)) if ss[k] in "<>()"), "")
         touching = TRIPLE in ss[max(0, i - 1) : i + 2]
         if c in PAIRS:
             if c == "(" and "<" in {ss[k] for k in above}:
-                return f"MULTI symbol ( {where} is within a TERM"
+                return f"{where}: a junction can't stand in a stem"
             if c == "(" and inner == "(" and before not in ("(",):
-                return f"MULTI symbol ( {where} is within a MULTI"
+                return f"{where}: a junction can't stand in a junction"
             if c == "<" and inner == "<" and before == ">":
-                return f"TERM symbol < {where} is adjacent to a closed TERM within an open TERM"
+                return f"{where}: a stem can't hold two stems side by side"
             above.append(i)
         elif c in ">)":
             above.pop()
@@ -294,20 +330,20 @@ def _context(ss: str) -> str | None:
             depth = [k for k in above if ss[k] == "<" or before == "(" == after or before == ")" == after]
             crossed = any(x in ss[: i + 1] for x in "[{") or any(x in ss for x in "[{")
             if depth and not crossed:
-                return f"UNSTRUCTURED RESIDUE : {where} is within a {_NAMES[inner]}"
+                return f"{where}: a free residue can't stand inside a helix"
         elif c == "_":
             if not (before == "<" and after == ">"):
-                return f"HAIRPIN RESIDUE _ {where} is not within loop of TERM"
+                return f"{where}: _ stands outside of a stem's loop"
         elif c == ",":
             if inner != "(":
-                return f'MULTI RESIDUE "," {where} is not at MULTIJUNCTION'
+                return f"{where}: a comma stands outside of a junction"
         elif c == "-":
             if not (above or touching):
-                return f"INTERIOR LOOP RESIDUE - {where} is not within a helix"
+                return f"{where}: - stands outside of a helix"
             if above and not touching and (before, after) not in (("<", "<"), (">", ">"), ("(", "("), (")", ")"), ("(", "<"), (">", ")"), ("<", ">")):
-                return f"INTERIOR LOOP RESIDUE - {where} is not within a helix"
+                return f"{where}: - stands outside of a helix"
         elif c not in "[]{}~.":
-            return f"unrecognized symbol {c} at position {i + 1}"
+            return f"{where}: {c} is no symbol"
     del brackets
     return None
 
@@ -326,11 +362,11 @@ def _variables(ss: str, pos_var: str) -> str | None:
         if pos_var[i] == " ":
             continue
         if c in (TRIPLE, SINGLE):
-            return f"pos_var symbol for BASE TRIPLE {c} at position {i + 1}"
+            return f"place {i + 1}: a triple takes no variable"
         if c in _CLOSING:
-            return f"pos_var symbol for CLOSE {_NAMES.get(_CLOSING[c], 'PK')} {c} at position {i + 1}"
+            return f"place {i + 1}: the closing side takes no variable"
         key = groups.get(i, ("run", run))
         if key in seen:
-            return f"second (redundant) pos_var symbol at position {i + 1}"
+            return f"place {i + 1}: the run has a variable already"
         seen[key] = i
     return None

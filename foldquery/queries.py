@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldquery.functions import energy, nucleotides, render
-from foldquery.operators import helices, regions, store
+from foldquery.operators import helices, records, regions, store
 from foldquery.plans import cssd
 from foldquery.plans.search import _steps, hit_counts, search
 from foldquery.sources.files import collection, literal, rna_from_documents
@@ -129,7 +129,21 @@ def hairpin_counts(spark, d):
     return hit_counts(search(rna_from_documents(spark, d), HAIRPIN))
 
 
-@query("search_optional_helix")
+def _optional_sql() -> str:
+    """With the pair: stem of four around three, two free, a pair around one free, a stem of three around four, one free.
+    Without it the same residues but for the pair's first; it must still be able to form around the free ones."""
+    stem = [(r, 10 - r) for r in range(4)]
+    there = [*stem, (13, 26), *((15 + r, 24 - r) for r in range(3))]
+    absent = [*stem, *((14 + r, 23 - r) for r in range(3)), (12, 25)]
+    select = lambda pairs, end, chain: f"SELECT seq_id, p AS fp, p + 7 AS tp, p AS position, p + {end} AS end_position, (p || ',' || (p + 7) || '(4)'{chain}) AS chain, '' AS constraints FROM w WHERE " + " AND ".join(f"c{i} || c{j} IN {CANON}" for i, j in pairs)
+    one = select(there, 26, " || ' -> ' || (p + 13) || ',' || (p + 26) || '(1)' || ' -> ' || (p + 15) || ',' || (p + 22) || '(3)'")
+    none = select(absent, 23, " || ' -> ' || (p + 14) || ',' || (p + 21) || '(3)'")
+    leads = ", ".join(f"lead(c, {k}) OVER s AS c{k}" for k in range(1, 27))
+    ints = "seq_id, CAST(fp AS INTEGER) AS fp, CAST(tp AS INTEGER) AS tp, CAST(position AS INTEGER) AS position, CAST(end_position AS INTEGER) AS end_position, chain, constraints"
+    return f"WITH {POS}, w AS MATERIALIZED (SELECT seq_id, p, c AS c0, {leads} FROM pos WINDOW s AS (PARTITION BY seq_id ORDER BY p)) SELECT {ints} FROM ({one} UNION ALL {none})"
+
+
+@query("search_optional_helix", _optional_sql())
 def search_optional_helix(spark, d):
     """A helix of no or one pair around a stem: hits with and without it."""
     return told(search(rna_from_documents(spark, d), ("<<<<___>>>>::<-<<<____>>>->", "             1")))
@@ -173,7 +187,7 @@ def sink_result(spark, d):
 
 @query("project_fields", f"WITH {RESULTS} SELECT job_id, position, fe FROM results")
 def project_fields(spark, d):
-    return results_of(spark, d).select("job_id", "position", "fe")
+    return records.project(results_of(spark, d), "results")
 
 
 @query("merge_objects", "SELECT o_orderkey, o_custkey, c_name, c_nationkey, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -185,9 +199,9 @@ def merge_objects(spark, d):
 
 @query("cssd_join_split", "SELECT p_partkey, p_name || chr(10) || p_brand AS cs, p_name AS ss, p_brand AS pos_var FROM part")
 def cssd_join_split(spark, d):
-    df = collection(spark, d, "part").select("p_partkey", F.concat_ws("\n", "p_name", "p_brand").alias("cs"))
-    parts = F.split("cs", "\n", 2)
-    return df.select("p_partkey", "cs", parts[0].alias("ss"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("pos_var"))
+    df = collection(spark, d, "part").select("p_partkey", nucleotides.cssd_join("p_name", "p_brand").alias("cs"))
+    ss, pos_var = nucleotides.cssd_split("cs")
+    return df.select("p_partkey", "cs", ss.alias("ss"), pos_var.alias("pos_var"))
 
 
 @query("substr", "SELECT doc_id, substr(text, 5, 12) AS part FROM documents")
@@ -195,9 +209,9 @@ def substr(spark, d):
     return collection(spark, d, "documents").select("doc_id", nucleotides.substr(F.col("text"), 4, 12).alias("part"))
 
 
-@query("oid_convert", "SELECT doc_id, lpad(to_hex(doc_id), 24, '0') AS oid FROM documents")
+@query("oid_convert", "SELECT doc_id, lpad(to_hex(doc_id), 24, '0') AS oid, doc_id AS back FROM documents")
 def oid_convert(spark, d):
-    return collection(spark, d, "documents").select("doc_id", F.lpad(F.hex("doc_id"), 24, "0").alias("oid"))
+    return collection(spark, d, "documents").select("doc_id", records.hex_id(F.col("doc_id")).alias("oid")).withColumn("back", records.decimal_id(F.col("oid")))
 
 
 @query("seq_normalize", "SELECT doc_id, translate(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v0-9]+', '', 'g')), 't', 'u') AS nt FROM documents")
@@ -205,7 +219,17 @@ def seq_normalize(spark, d):
     return collection(spark, d, "documents").select("doc_id", nucleotides.normalize(F.col("text")).alias("nt"))
 
 
-@query("seq_hash")
+def _crc_sql() -> str:
+    """CRC-32 by its definition: a table of 256 remainders, then a byte at a time."""
+    bit = "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+    rounds = "SELECT k, k AS r FROM range(0, 256) t(k)"
+    for _ in range(8):
+        rounds = f"SELECT k, {bit} AS r FROM ({rounds})"
+    step = "lambda a, b: xor(a >> 8, rem[(xor(a, b) & 255) + 1])"
+    return f"WITH {RNA}, rems AS (SELECT list(CAST(r AS BIGINT) ORDER BY k) AS rem FROM ({rounds})) SELECT seq_id, xor(CASE WHEN nt = '' THEN 4294967295 ELSE list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(nt, ''), lambda x: CAST(ascii(x) AS BIGINT))), {step}) END, 4294967295) AS crc FROM rna, rems"
+
+
+@query("seq_hash", _crc_sql())
 def seq_hash(spark, d):
     return rna_from_documents(spark, d).select("seq_id", nucleotides.sequence_hash(F.col("nt")).alias("crc"))
 
@@ -219,20 +243,20 @@ def hit_span(spark, d):
 
 @query("fe_round", f"WITH {RESULTS} SELECT _id, round(fe, 2) AS fe FROM results")
 def fe_round(spark, d):
-    return results_of(spark, d).select("_id", F.round("fe", 2).alias("fe"))
+    return results_of(spark, d).select("_id", records.shown_energy("fe").alias("fe"))
 
 
 @query("stats_clamp", f"WITH {RESULTS} SELECT _id, greatest(least(fe, 5.0), -50.0) AS fe FROM results")
 def stats_clamp(spark, d):
-    return results_of(spark, d).select("_id", F.greatest(F.least("fe", F.lit(5.0)), F.lit(-50.0)).alias("fe"))
+    return results_of(spark, d).select("_id", records.plotted_energy("fe").alias("fe"))
 
 
 # ---- filters -----------------------------------------------------------------------------------
 
 
-@query("filter_eq", f"WITH {SEQS} SELECT _id, accession FROM sequences WHERE ref_id = 3 AND definition = 'src0'")
+@query("filter_eq", f"WITH {SEQS} SELECT _id, accession FROM sequences WHERE ref_id = 3 AND definition = 'src3'")
 def filter_eq(spark, d):
-    return sequences_of(spark, d).where((F.col("ref_id") == 3) & (F.col("definition") == "src0")).select("_id", "accession")
+    return records.equal(sequences_of(spark, d), ref_id=3, definition="src3").select("_id", "accession")
 
 
 @query("filter_seq_text", "SELECT max(d.doc_id) AS _id FROM documents d WHERE d.text = (SELECT text FROM documents ORDER BY doc_id LIMIT 1)")
@@ -245,7 +269,7 @@ def filter_seq_text(spark, d):
 
 @query("filter_cssd_text", "SELECT max(p_partkey) AS _id FROM part WHERE p_brand = 'Brand#13'")
 def filter_cssd_text(spark, d):
-    return collection(spark, d, "part").where("p_brand = 'Brand#13'").agg(F.max("p_partkey").alias("_id"))
+    return records.newest_equal(collection(spark, d, "part").withColumnRenamed("p_partkey", "_id"), "p_brand", "Brand#13")
 
 
 @query("filter_published", "SELECT p_partkey, p_size FROM part WHERE p_size > 25")
@@ -260,7 +284,7 @@ def filter_search_term(spark, d):
 
 @query("pred_lt_gte", f"WITH {RESULTS} SELECT _id, position, fe FROM results WHERE fe < -20 AND position >= 30 AND hit_string <> ''")
 def pred_lt_gte(spark, d):
-    return results_of(spark, d).where("fe < -20 and position >= 30 and hit_string <> ''").select("_id", "position", "fe")
+    return records.between(results_of(spark, d), {"fe": -20}, {"position": 30}).where("hit_string <> ''").select("_id", "position", "fe")
 
 
 @query("pred_pair", f"WITH {POS} SELECT seq_id, count(*) FILTER (WHERE c || n IN {CANON}) AS n_pairs FROM (SELECT seq_id, c, lead(c) OVER (PARTITION BY seq_id ORDER BY p) AS n FROM pos) GROUP BY seq_id")
@@ -293,38 +317,77 @@ def valid_fields(spark, d):
     return collection(spark, d, "documents").select("doc_id", nucleotides.definition_error(F.col("text")).alias("definition_error"), nucleotides.accession_error(F.col("source")).alias("accession_error"), nucleotides.group_error(F.col("lang")).alias("group_error"))
 
 
-@query("valid_cssd")
-def valid_cssd(spark, d):
-    """Bulk validation of patterns, here the part names: each is refused with a reason."""
+#: Patterns with why they are refused, worked out by hand from the rules of the language.
+VERDICTS = [
+    ("<<<___>>>", None), ("((,,<<<___>>>,<<__>>,))", None), ("<<<_[[[_>>>:::]]]", None), ("<~<<___>>~>:.", None), ("((((,,,,))))", None), ("<<___>", "< and > don't balance"), ("", "the pattern is empty"), ("<<a__>>", "place 3: a is no symbol"),
+    ("<~<___>>", "a triple needs two ~ and one ."), ("<<_[[_>>", "there are not as many [ as ]"), ("<<<___>>>_", "place 10: _ stands outside of a stem's loop"), ("<<:__>>", "place 3: a free residue can't stand inside a helix"),
+]
+
 
-    @F.pandas_udf("string")
-    def reason(ss):
-        return ss.map(lambda s: cssd.validate(s or ""))
+def _verdicts_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(ss)}, {quoted(why)})" for i, (ss, why) in enumerate(VERDICTS))
+    return f"SELECT p_partkey, ss, error FROM part JOIN (VALUES {rows}) t(k, ss, error) ON p_partkey % {len(VERDICTS)} = k"
 
-    return collection(spark, d, "part").select("p_partkey", reason("p_name").alias("error"))
+
+@query("valid_cssd", _verdicts_sql())
+def valid_cssd(spark, d):
+    """Bulk validation of patterns: every different one is looked at once."""
+    which = F.element_at(F.array(*(F.lit(ss) for ss, _ in VERDICTS)), (F.col("p_partkey") % len(VERDICTS) + 1).cast("int"))
+    return records.validated(collection(spark, d, "part").select("p_partkey", which.alias("ss")), "ss", cssd.validate)
 
 
 @query("fe_threshold", f"WITH {RESULTS} SELECT _id, fe FROM results WHERE fe <= -90 ORDER BY fe, _id LIMIT 500")
 def fe_threshold(spark, d):
     """The cut keeps 500 hits at most."""
-    return results_of(spark, d).where("fe <= -90").select("_id", "fe").orderBy("fe", "_id").limit(500)
+    return records.energy_cut(results_of(spark, d).select("_id", "fe"), -90)
 
 
 # ---- patterns compiled on the driver ---------------------------------------------------------------
 
 
-@query("model_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {cssd.parse(*p).size()}, {cssd.parse(*p).length()[0]}, {cssd.parse(*p).length()[1]}, {cssd.parse(*p).largest()}, {str(cssd.parse(*p).wrapped).lower()})" for n, p in PATTERNS.items()) + ") t(name, size, least, most, largest, wrapped)")
-def model_catalog(spark, d):
-    """Size, reach, largest helix and wrapper of each registered pattern."""
-    rows = [(n, m.size(), *m.length(), m.largest(), m.wrapped) for n, p in PATTERNS.items() for m in [cssd.parse(*p)]]
-    return spark.createDataFrame(rows, "name string, size int, least int, most int, largest int, wrapped boolean")
+# Checked by hand against the patterns above: name, ways, least and greatest length, largest helix, wrapped, and what stands
+# before it, in it and after it.
+_CATALOG = """
+('search_hairpin', 1, 9, 9, 0, false, 0, 0, 3, 3, 0, 0), ('search_variable', 4, 9, 12, 0, false, 0, 0, 3, 4, 0, 0), ('search_bulge', 1, 14, 14, 0, false, 0, 0, 8, 8, 0, 0),
+('search_interior', 4, 16, 18, 0, false, 0, 0, 10, 12, 0, 0), ('search_junction', 1, 26, 26, 0, false, 0, 0, 18, 18, 0, 0), ('search_pseudoknot', 1, 17, 17, 0, false, 0, 0, 5, 5, 6, 6),
+('search_two_pseudoknots', 1, 16, 16, 0, false, 0, 0, 6, 6, 6, 6), ('search_triple', 1, 13, 13, 1, false, 2, 2, 3, 3, 4, 4), ('search_wrapped', 4, 13, 16, 1, true, 4, 6, 3, 3, 2, 3),
+('search_side_by_side', 2, 19, 20, 0, false, 0, 0, 3, 3, 10, 11)"""
 
 
-@query("stack_distances")
+@query("model_limits", f"SELECT * FROM (VALUES {_CATALOG}) t(name, size, least, most, largest, wrapped, lead_least, lead_most, inside_least, inside_most, trail_least, trail_most)")
+def model_limits(spark, d):
+    """Size, reach, largest helix and wrapper of each registered pattern, and what stands around that helix."""
+    rows = [(n, m.size(), *m.length(), m.largest(), m.wrapped, *m.limits()["lead"], *m.limits()["enclosed"], *m.limits()["trail"]) for n, p in PATTERNS.items() for m in [cssd.parse(*p)]]
+    return spark.createDataFrame(rows, "name string, size int, least int, most int, largest int, wrapped boolean, lead_least int, lead_most int, inside_least int, inside_most int, trail_least int, trail_most int")
+
+
+# Checked by hand against the patterns: name, helix, its least and greatest length, the residues it encloses at least and at most.
+_DISTANCES = """
+('search_hairpin', 0, 3, 3, 3, 3), ('search_variable', 0, 3, 4, 3, 4), ('search_bulge', 0, 3, 3, 8, 8), ('search_bulge', 1, 2, 2, 3, 3), ('search_interior', 0, 3, 3, 10, 12), ('search_interior', 1, 2, 2, 4, 4),
+('search_junction', 0, 4, 4, 18, 18), ('search_junction', 1, 3, 3, 3, 3), ('search_junction', 2, 3, 3, 3, 3), ('search_pseudoknot', 0, 3, 3, 5, 5), ('search_two_pseudoknots', 0, 2, 2, 6, 6),
+('search_triple', 0, 1, 1, 9, 9), ('search_triple', 1, 2, 2, 3, 3), ('search_wrapped', 0, 1, 2, 9, 9), ('search_wrapped', 1, 2, 2, 3, 3), ('search_side_by_side', 0, 3, 3, 3, 3), ('search_side_by_side', 1, 3, 3, 3, 3)"""
+
+
+@query("stack_distances", f"SELECT * FROM (VALUES {_DISTANCES}) t(name, helix, low, high, near, far)")
 def stack_distances(spark, d):
-    """The range of residues that each helix of each registered pattern encloses, and where constraints lie around it."""
-    rows = [(n, h, m.helices[h].low, m.helices[h].high, *m.spans[h], str(helices.offsets(m, h))) for n, p in PATTERNS.items() for m in [cssd.parse(*p)] for h in range(len(m.helices))]
-    return spark.createDataFrame(rows, "name string, helix int, low int, high int, near int, far int, offsets string")
+    """The lengths of each helix of each registered pattern and the range of residues that it encloses."""
+    rows = [(n, h, m.helices[h].low, m.helices[h].high, *m.spans[h]) for n, p in PATTERNS.items() for m in [cssd.parse(*p)] for h in range(len(m.helices))]
+    return spark.createDataFrame(rows, "name string, helix int, low int, high int, near int, far int")
+
+
+# Checked by hand against the patterns: where each constraint's strands lie about each helix, counted from its nearer edge.
+_OFFSETS = """
+('search_pseudoknot', 0, 0, 'fp', 'inside', 1, 1), ('search_pseudoknot', 0, 0, 'tp', 'after', 3, 3), ('search_two_pseudoknots', 0, 1, 'fp', 'inside', 0, 0), ('search_two_pseudoknots', 0, 0, 'fp', 'inside', 2, 2),
+('search_two_pseudoknots', 0, 1, 'tp', 'after', 0, 0), ('search_two_pseudoknots', 0, 0, 'tp', 'after', 4, 4), ('search_triple', 0, 0, 'fp', 'inside', 0, 0), ('search_triple', 0, 0, 'tp', 'inside', 8, 8), ('search_triple', 0, 0, 'single', 'after', 1, 1),
+('search_triple', 1, 0, 'fp', 'before', 1, 1), ('search_triple', 1, 0, 'tp', 'after', 0, 0), ('search_triple', 1, 0, 'single', 'after', 3, 3), ('search_wrapped', 0, 0, 'single', 'before', 2, 3), ('search_wrapped', 0, 0, 'fp', 'inside', 0, 0),
+('search_wrapped', 0, 0, 'tp', 'inside', 8, 8), ('search_wrapped', 1, 0, 'single', 'before', 4, 6), ('search_wrapped', 1, 0, 'fp', 'before', 1, 1), ('search_wrapped', 1, 0, 'tp', 'after', 0, 0)"""
+
+
+@query("constraint_offsets", f"SELECT * FROM (VALUES {_OFFSETS}) t(name, helix, part, role, side, low, high)")
+def constraint_offsets(spark, d):
+    rows = [(n, h, k, role, *where) for n, p in PATTERNS.items() for m in [cssd.parse(*p)] for h in range(len(m.helices)) for (k, role), where in helices.offsets(m, h).items()]
+    return spark.createDataFrame(rows, "name string, helix int, part int, role string, side string, low int, high int")
 
 
 # ---- pairs and helices ---------------------------------------------------------------------------
@@ -423,7 +486,7 @@ def semi_join_down(spark, d):
 _H5 = (5, 5, 3, 4)
 
 
-@query("list_advance", f"WITH {POS}, {_helix_sql(*_H5)} SELECT a.seq_id, CAST(a.fp AS INTEGER) AS first_fp, CAST(b.fp AS INTEGER) AS fp, CAST(b.fp - (a.tp + a.len) AS INTEGER) AS skip FROM helices a JOIN helices b ON a.seq_id = b.seq_id AND b.fp BETWEEN a.tp + a.len AND a.tp + a.len + 20")
+@query("list_advance", f"WITH {POS}, {_helix_sql(*_H5)} SELECT a.seq_id, CAST(a.fp AS INTEGER) AS first_fp, CAST(b.fp AS INTEGER) AS fp, CAST(a.skip AS INTEGER) AS skip FROM (SELECT *, tp + len + skip AS cur FROM (SELECT *, unnest(range(0, 21)) AS skip FROM helices)) a JOIN helices b ON a.seq_id = b.seq_id AND b.fp = a.cur")
 def list_advance(spark, d):
     """Stems followed by a stem up to 20 residues on: an equality join over the exploded skips."""
     h = helices.enum_helices(rna_from_documents(spark, d), *_H5)
@@ -444,17 +507,26 @@ def list_advance_wrapper(spark, d):
     return helices.all_helices(rna.select("seq_id"), helices.enum_helices(rna, 6, 6, 3, 3)).select("seq_id", "fp", "cur")
 
 
-@query("distinct_hits", f"WITH {POS}, {H34}, t AS (SELECT seq_id, fp, tp + len - 1 AS last FROM helices) SELECT seq_id, CAST(fp AS INTEGER) AS fp, CAST(last AS INTEGER) AS last FROM (SELECT * FROM t UNION SELECT * FROM t)")
+_H35 = (4, 5, 4, 6)
+
+
+@query("distinct_hits", f"WITH {POS}, {H34}, {_helix_sql(*_H35).replace('w AS MAT', 'v AS MAT').replace('FROM w ', 'FROM v ').replace('helices AS', 'others AS')} SELECT seq_id, CAST(fp AS INTEGER) AS fp, CAST(last AS INTEGER) AS last FROM (SELECT seq_id, fp, tp + len - 1 AS last FROM helices UNION SELECT seq_id, fp, tp + len - 1 FROM others)")
 def distinct_hits(spark, d):
-    """Union without duplicates of two lists of extents."""
-    ends = enum_helices(spark, d).select("seq_id", "fp", F.expr("tp + len - 1").alias("last"))
-    return ends.unionByName(ends).dropDuplicates(["seq_id", "fp", "last"])
+    """Union without duplicates of two lists of extents that share some."""
+    ends = lambda h: h.select("seq_id", "fp", F.expr("tp + len - 1").alias("last"))
+    return records.union_distinct(ends(enum_helices(spark, d)), ends(helices.enum_helices(rna_from_documents(spark, d), *_H35)))
+
+
+@query("member", f"WITH {POS}, {H34}, {_helix_sql(*_H35).replace('w AS MAT', 'v AS MAT').replace('FROM w ', 'FROM v ').replace('helices AS', 'others AS')} SELECT {_H_COLS} FROM helices h WHERE EXISTS (SELECT 1 FROM others o WHERE o.seq_id = h.seq_id AND o.fp = h.fp AND o.tp = h.tp AND o.len = h.len)")
+def member(spark, d):
+    """The helices of one list that another holds too."""
+    return records.present(enum_helices(spark, d), helices.enum_helices(rna_from_documents(spark, d), *_H35), "seq_id", "fp", "tp", "len")
 
 
 @query("union_distinct_counts", "SELECT p_size + k AS n FROM part, (SELECT unnest(range(0, 3)) AS k) GROUP BY 1")
 def union_distinct_counts(spark, d):
     p = collection(spark, d, "part").select(F.col("p_size").cast("long").alias("n")).distinct()
-    return p.union(p.select(F.col("n") + 1)).union(p.select(F.col("n") + 2)).distinct()
+    return records.union_distinct(p, records.list_sum(p, "n", 1), records.list_sum(p, "n", 2))
 
 
 @query("list_sum_combine", "SELECT DISTINCT a.p_size + b.p_size AS n FROM (SELECT DISTINCT p_size FROM part) a, (SELECT DISTINCT p_size FROM part) b")
@@ -466,13 +538,12 @@ def list_sum_combine(spark, d):
 
 @query("union_all_guest", f"WITH {SEQS} SELECT _id, accession FROM sequences WHERE ref_id = 1 UNION ALL SELECT _id, accession FROM sequences WHERE ref_id = 0")
 def union_all_guest(spark, d):
-    s = sequences_of(spark, d)
-    return s.where("ref_id = 1").unionAll(s.where("ref_id = 0")).select("_id", "accession")
+    return records.own_and_guests(sequences_of(spark, d), 1).select("_id", "accession")
 
 
 @query("dedup_results", f"WITH {RESULTS} SELECT DISTINCT job_id, position, hit_string FROM results")
 def dedup_results(spark, d):
-    return results_of(spark, d).select("job_id", "position", "hit_string").dropDuplicates(["job_id", "position", "hit_string"])
+    return records.distinct_results(results_of(spark, d))
 
 
 # ---- lookups, summaries, orders -------------------------------------------------------------------
@@ -492,18 +563,17 @@ def fe_distribution(spark, d):
 
 @query("total_time", f"WITH {RESULTS} SELECT job_id, round(sum(time), 4) AS total_time FROM results GROUP BY job_id")
 def total_time(spark, d):
-    return results_of(spark, d).groupBy("job_id").agg(F.round(F.sum("time"), 4).alias("total_time"))
+    return records.total_time(results_of(spark, d)).withColumn("total_time", F.round("total_time", 4))
 
 
 @query("result_count", f"WITH {RESULTS} SELECT job_id, count(*) AS n FROM results GROUP BY job_id")
 def result_count(spark, d):
-    return results_of(spark, d).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return records.result_count(results_of(spark, d))
 
 
 @query("collection_count", "SELECT (SELECT count(*) FROM documents) AS sequences, (SELECT count(*) FROM part) AS cs, (SELECT count(*) FROM orders) AS jobs, (SELECT count(*) FROM events) AS results")
 def collection_count(spark, d):
-    one = [collection(spark, d, t).agg(F.count(F.lit(1)).alias(n)).withColumn("k", F.lit(1)) for n, t in (("sequences", "documents"), ("cs", "part"), ("jobs", "orders"), ("results", "events"))]
-    return one[0].join(one[1], "k").join(one[2], "k").join(one[3], "k").drop("k")  # a row each
+    return records.collection_counts({n: collection(spark, d, t) for t, n in (("documents", "sequences"), ("part", "cs"), ("orders", "jobs"), ("events", "results"))})
 
 
 @query("next_counter", f"WITH {SEQS} SELECT _id, 1000 + row_number() OVER (ORDER BY _id) AS seq FROM sequences")
@@ -529,12 +599,12 @@ def job_state(spark, d):
 
 @query("mean_time", f"WITH {RESULTS} SELECT job_id, round(least(sum(time) / count(*), 999), 6) AS mean_time FROM results GROUP BY job_id")
 def mean_time(spark, d):
-    return results_of(spark, d).groupBy("job_id").agg(F.round(F.least(F.sum("time") / F.count(F.lit(1)), F.lit(999.0)), 6).alias("mean_time"))
+    return records.mean_time(results_of(spark, d)).withColumn("mean_time", F.round("mean_time", 6))
 
 
 @query("list_sum", f"WITH {RESULTS} SELECT _id, position + 7 AS position FROM results")
 def list_sum(spark, d):
-    return results_of(spark, d).select("_id", (F.col("position") + 7).alias("position"))
+    return records.list_sum(results_of(spark, d).select("_id", "position"), "position", 7)
 
 
 @query("fe_percentile", "WITH h AS (SELECT p_size AS len, round(p_retailprice) AS fe, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT len, sum(n) AS total FROM h GROUP BY len) SELECT p_partkey, round(100.0 * (SELECT sum(h.n) FROM h WHERE h.len = p.p_size AND h.fe <= p.p_retailprice) / t.total, 6) AS percentile FROM part p JOIN t ON t.len = p.p_size")
@@ -563,7 +633,7 @@ def sort_cssds(spark, d):
 
 @query("sort_jobs", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC")
 def sort_jobs(spark, d):
-    return collection(spark, d, "orders").select("o_orderkey").orderBy(F.col("o_orderkey").desc())
+    return records.newest_jobs(collection(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query("page", f"WITH {RESULTS} SELECT _id, position, fe FROM results ORDER BY position, fe, _id LIMIT 25 OFFSET 100")
@@ -612,7 +682,19 @@ def roi_emit(spark, d):
     return regions.emit(rna, found)
 
 
-@query("roi_constraint")
+def _roi_constraint_sql() -> str:
+    """Stems of four pairs around four or five residues whose loop's second to fourth residues pair with the three that end
+    six past the stem."""
+    parts = []
+    for e in (4, 5):
+        last = 2 * 4 + e - 1
+        pairs = [(r, last - r) for r in range(4)] + [(5 + r, last + 6 - r) for r in range(3)]
+        parts.append(f"SELECT seq_id, p AS fp, p + {4 + e} AS tp, 4 AS len, p AS start, p + {last + 6} AS e FROM w WHERE " + " AND ".join(f"c{i} || c{j} IN {CANON}" for i, j in pairs))
+    leads = ", ".join(f"lead(c, {k}) OVER s AS c{k}" for k in range(1, 19))
+    return f'WITH {POS}, w AS MATERIALIZED (SELECT seq_id, p, c AS c0, {leads} FROM pos WINDOW s AS (PARTITION BY seq_id ORDER BY p)) SELECT {_H_COLS}, CAST(start AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM ({" UNION ALL ".join(parts)})'
+
+
+@query("roi_constraint", _roi_constraint_sql())
 def roi_constraint(spark, d):
     """Seeds of a stem around which its pseudoknot could stand."""
     return regions.seeds(rna_from_documents(spark, d), cssd.parse("<<<<_[[[_>>>>:::]]]", "        1"))
@@ -641,6 +723,27 @@ def _with_residues(spark, d, pattern) -> DataFrame:
     return render.counted_from(hits.withColumnsRenamed({"fp": "first_fp", "around": "nt"}), "around_start")
 
 
+def _hairpin_sql() -> str:
+    """Two stacks, the loop of three (special ones by their own energy), weak ends, and symmetry if both strands read the same."""
+    cells = " ".join(f"WHEN '{p}{q}' THEN {e}" for p, row in energy.STACKS.items() for q, e in zip(energy.STACK_PAIRS, row, strict=True))
+    one = lambda a, b: f"CASE c{a} || c{8 - a} || c{b} || c{8 - b} {cells} ELSE 0 END"
+    weak = ", ".join(f"'{p}'" for p in sorted(energy.WEAK))
+    special = " ".join(f"WHEN '{k}' THEN {e}" for k, e in energy.SPECIAL_HAIRPINS.items() if len(k) == 5)
+    loop = f"{energy.HAIRPIN[3]} + CASE WHEN c3 || c4 || c5 = 'ccc' THEN {energy.ALL_C_3} ELSE 0 END"
+    loop = f"CASE c2 || c3 || c4 || c5 || c6 {special} ELSE {loop} END" if special else loop
+    ends = f"CASE WHEN c0 || c8 IN ({weak}) THEN {energy.AU_GU_END} ELSE 0 END + CASE WHEN c2 || c6 IN ({weak}) THEN {energy.AU_GU_END} ELSE 0 END"
+    same = f"CASE WHEN c0 || c1 || c2 = c6 || c7 || c8 THEN {energy.SYMMETRY} ELSE 0 END"
+    leads = ", ".join(f"lead(c, {k}) OVER s AS c{k}" for k in range(1, 9))
+    return f"WITH {POS}, w AS (SELECT seq_id, p, c AS c0, {leads} FROM pos WINDOW s AS (PARTITION BY seq_id ORDER BY p)) SELECT seq_id, CAST(p AS INTEGER) AS fp, round(CAST({one(0, 1)} AS DOUBLE) + CAST({one(1, 2)} AS DOUBLE) + CAST({loop} AS DOUBLE) + CAST({ends} AS DOUBLE) + CAST({same} AS DOUBLE), 2) AS fe FROM w WHERE " + " AND ".join(f"c{r} || c{8 - r} IN {CANON}" for r in range(3))
+
+
+@query("fe_hairpin", _hairpin_sql())
+def fe_hairpin(spark, d):
+    """Full energy of each hairpin hit: stacks, loop, weak ends and symmetry."""
+    hits = _with_residues(spark, d, HAIRPIN)
+    return hits.select("seq_id", F.col("first_fp").alias("fp"), F.round(energy.fe_turner(F.col("nt"), F.col("chain"), F.col("constraints")), 2).alias("fe"))
+
+
 @query("fe_turner")
 def fe_turner(spark, d):
     """Full nearest-neighbour energy of each junction hit."""
@@ -648,7 +751,7 @@ def fe_turner(spark, d):
     return hits.select("seq_id", "position", F.round(energy.fe_turner(F.col("nt"), F.col("chain"), F.col("constraints")), 5).alias("fe"))
 
 
-@query("hit_paint")
+@query("hit_paint", f"SELECT seq_id, position, '{PATTERNS['search_pseudoknot'][0]}' AS hit_string FROM ({variants_sql(*PATTERNS['search_pseudoknot'])})")
 def hit_paint(spark, d):
     hits = search(rna_from_documents(spark, d), PATTERNS["search_pseudoknot"])
     return hits.select("seq_id", "position", render.hit_string(F.col("chain"), F.col("constraints")).alias("hit_string"))
@@ -680,21 +783,25 @@ def insert_unique(spark, d):
 
 @query("project_drop", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def project_drop(spark, d):
-    return collection(spark, d, "orders").drop("o_orderdate", "o_orderpriority")
+    return records.without(collection(spark, d, "orders"), "o_orderdate", "o_orderpriority")
 
 
-@query("array_elem_at", "SELECT o_orderkey, c_name AS first_name FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("array_elem_at", "SELECT c_custkey, first_order FROM customer JOIN (SELECT o_custkey AS c_custkey, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey) USING (c_custkey)")
 def array_elem_at(spark, d):
-    """The first match of a lookup that gathers matches in an array; the key is unique, so arrays have one element."""
-    side = collection(spark, d, "customer").groupBy("c_custkey").agg(F.collect_list("c_name").alias("found"))
-    jobs = collection(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    return jobs.join(side, "c_custkey").where(F.size("found") > 0).select("o_orderkey", F.element_at("found", 1).alias("first_name"))
+    """The first match of a lookup with several; rows without any go."""
+    orders = collection(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return records.first_match(collection(spark, d, "customer").select("c_custkey"), orders, "c_custkey", "o_orderkey", "first_order")
+
+
+@query("sink_dataset_print", f"WITH {RESULTS} SELECT job_id || chr(9) || position || chr(9) || hit_string AS line FROM results")
+def sink_dataset_print(spark, d):
+    return records.printed(results_of(spark, d).select("job_id", "position", "hit_string"))
 
 
 @query("cap_hits", f"WITH {RESULTS} SELECT _id, fe FROM results ORDER BY fe, _id LIMIT 500")
 def cap_hits(spark, d):
     """The feature is the cap."""
-    return results_of(spark, d).select("_id", "fe").orderBy("fe", "_id").limit(500)
+    return records.cap_hits(results_of(spark, d).select("_id", "fe"))
 
 
 @query("pred_stack", f"WITH {POS}, {_helix_sql(5, 5, 4, 4)} SELECT seq_id, count(*) AS n FROM helices GROUP BY seq_id")
@@ -711,7 +818,11 @@ def constraint_text(spark, d):
     return hits.select("seq_id", "position", strand("fp").alias("five"), strand("tp").alias("three"))
 
 
-@query("roi_extend")
+@query("roi_extend", f'''{_roi_sql().replace("WITH rna", "WITH RECURSIVE rna", 1)}, x AS (SELECT seq_id, start, e, row_number() OVER (PARTITION BY seq_id ORDER BY start, e) AS k FROM (SELECT DISTINCT seq_id, start, e FROM seeds)),
+walk AS (
+  SELECT seq_id, k, start, start + 18 AS reach, true AS kept FROM x WHERE k = 1
+  UNION ALL SELECT x.seq_id, x.k, x.start, CASE WHEN x.e <= walk.reach THEN walk.reach ELSE x.start + 18 END, x.e > walk.reach FROM walk JOIN x ON x.seq_id = walk.seq_id AND x.k = walk.k + 1)
+SELECT seq_id, CAST(start AS INTEGER) AS start, CAST(start + 18 AS INTEGER) AS "end" FROM walk WHERE kept''')
 def roi_extend(spark, d):
     """The regions of a pattern, stretched from left to right."""
     model = cssd.parse(*_ROI)

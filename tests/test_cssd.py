@@ -1,23 +1,23 @@
 import pytest
 
-from foldquery.plans.cssd import PatternError, join, parse, split, validate, variable, variable_symbol
+from foldquery.plans.cssd import PatternError, close_position, join, parse, split, symbols_match, validate, variable, variable_symbol
 
 REFUSED = [
-    ("", "", "CS is empty"),
-    ("<<___>", "", "imbalanced number of TERM symbols"),
-    ("((,,)", "", "imbalanced number of MULTI symbols"),
-    ("<<_[[_>>::]", "", "imbalanced number of PK symbols"),
-    ("]]_[[", "", "inverted order of PK symbols"),
-    ("<<_[_[_>>:]]", "", "multiple instances of PK symbol pairs"),
-    ("<~<___>>", "", "BASE TRIPLE requires 2 paired symbols"),
-    ("<<:__>>", "", "UNSTRUCTURED RESIDUE : at position 3 is within a TERM"),
-    ("_<<___>>", "", "HAIRPIN RESIDUE _ at position 1 is not within loop"),
-    (",<<___>>", "", 'MULTI RESIDUE "," at position 1 is not at MULTIJUNCTION'),
-    ("<<_x_>>", "", "unrecognized symbol x at position 4"),
-    ("<<<___>>>", "1 1", "second (redundant) pos_var symbol"),
-    ("<<<___>>>", "      1", "pos_var symbol for CLOSE TERM"),
-    ("<<<___>>>", "0", 'invalid pos_var symbol "0" at position 1'),
-    ("<<<___>>>", "          1", "pos_var symbols extend beyond"),
+    ("", "", "the pattern is empty"),
+    ("<<___>", "", "< and > don't balance"),
+    ("((,,)", "", "( and ) don't balance"),
+    ("<<_[[_>>::]", "", "there are not as many [ as ]"),
+    ("]]_[[", "", "] comes before ["),
+    ("<<_[_[_>>:]]", "", "[ or ] stands in more than one run"),
+    ("<~<___>>", "", "a triple needs two ~ and one ."),
+    ("<<:__>>", "", "place 3: a free residue can't stand inside a helix"),
+    ("_<<___>>", "", "place 1: _ stands outside of a stem's loop"),
+    (",<<___>>", "", "place 1: a comma stands outside of a junction"),
+    ("<<_x_>>", "", "place 4: x is no symbol"),
+    ("<<<___>>>", "1 1", "place 3: the run has a variable already"),
+    ("<<<___>>>", "      1", "place 7: the closing side takes no variable"),
+    ("<<<___>>>", "0", "place 1: 0 is no variable"),
+    ("<<<___>>>", "          1", "variables stand past the end"),
 ]
 
 
@@ -28,6 +28,14 @@ def test_refused(ss, pos_var, starts):
         parse(ss, pos_var)
 
 
+def test_brackets_and_ranges():
+    assert [close_position("((<>[)]", i) for i in range(-1, 8)] == [-1, -1, 5, 3, -1, 6, -1, -1, -1]
+    assert symbols_match("((__))", "<<-->>") and symbols_match("<<,:>>", "((__))") and not symbols_match("<<__>>", "<<__>~") and not symbols_match("<<_>>", "<<__>>")
+    model = parse("((,,<<<___>>>,<<__>>,))", "  1")
+    assert [model.variable_range(t) for t in model.tokens if t.kind == "free"][0] == 1
+    assert model.contained() == [(0, 1, 1, 2), (0, 2, 11, 12)]
+
+
 def test_variables():
     assert [variable(c) for c in " 19ap"] == [0, 1, 9, 10, 25]
     assert variable("q") == variable("0") == -1

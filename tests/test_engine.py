@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foldquery.engine import Engine, RequestError
+from foldquery.engine import Engine, RequestError, register
 from foldquery.operators import store
+from foldquery.plans.search import search
 from foldquery.sources.files import fasta, sequence_files
 from foldquery.sources.sinks import SCHEMAS
 from foldquery.streaming.changes import all_changes, changes, deliver, for_user, running_counters
@@ -54,6 +55,14 @@ def test_jobs(spark, tmp_path, monkeypatch):
     assert e.jobs(7).count() == 5
 
 
+def test_functions_in_sql(spark):
+    register(spark)
+    spark.createDataFrame([(1, "gggaaaccc")], "seq_id int, nt string").createOrReplaceTempView("one")
+    search(spark.table("one"), "<<<___>>>", context=0).createOrReplaceTempView("hits")
+    r = spark.sql("SELECT round(rna_fe(around, chain, constraints), 2) AS fe, rna_hit_string(chain, constraints) AS hit FROM hits").first()
+    assert (r.fe, r.hit) == (-1.12, "<<<___>>>")
+
+
 def test_users(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     assert [e.create_user(n, f"sub-{n}") for n in ("ann", "bob")] == [1, 2]

@@ -93,3 +93,31 @@ def test_long_sequences_and_odd_rows(spark):
     assert {(r.fp, r.tp) for r in hits if r.seq_id == 0} == want
     assert {r.seq_id for r in hits} == {0, 4}
     assert search(rows.limit(0), "<<<___>>>").count() == 0
+
+
+def test_helices_are_made_once(spark):
+    from foldquery.operators.helices import HelixTables
+    from foldquery.plans.cssd import parse
+
+    tables = HelixTables(spark.createDataFrame([(1, "gggaaacccgggaaaccc")], "seq_id int, nt string"))
+    one, two = parse("<<<___>>>"), parse("<<<___>>>:::<<<___>>>")
+    first = tables.of(one, 0)
+    assert tables.of(two, 0) is first and tables.of(two, 1) is first and first.storageLevel.useMemory
+    assert sorted((r.fp, r.tp) for r in first.collect()) == [(1, 7), (10, 16)]
+    tables.drop()
+    assert not tables.kept and not first.storageLevel.useMemory
+
+
+def test_residues_come_with_hits(spark):
+    rows = spark.createDataFrame([(1, "aagggaaacccu" + "a" * 700 + "ngggaaaccc")], "seq_id int, nt string")
+    got = sorted((r.position, r.around_start, r.around) for r in search(rows, "<<<___>>>", context=2).collect() if r.around.endswith(("cccu", "cccua", "aaaccc")))
+    assert (3, 1, "aagggaaacccua") in got and got[-1] == (714, 712, "angggaaaccc")
+
+
+def test_no_pairs_of_all(spark):
+    """No plan joins all with all or tests pairs in a loop."""
+    from foldquery import queries
+
+    for name in ("list_advance", "join_containment", "semi_join_up", "pair_self_join", "member", "search_optional_helix", "lookup_inner"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan, name
