@@ -266,3 +266,23 @@ def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Three-word shingles, Jaccard of 0.9 or more, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(docs, ngram=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+
+
+def _sql() -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({lower}, ''), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) END AS t FROM w),
+tok AS (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM s),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS p, any_value(y.n) AS q, count(*) AS c FROM tok x JOIN tok y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  WHERE 100 * c >= 90 * (p + q - c)),
+linked AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk AS (SELECT a AS id, a AS root FROM linked UNION SELECT linked.b, walk.root FROM walk JOIN linked ON linked.a = walk.id),
+comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id)
+SELECT s.doc_id, CAST(len(t) AS BIGINT) AS n_shingles, coalesce(comp.root, s.doc_id) AS component_id FROM s LEFT JOIN comp ON comp.id = s.doc_id"""
+
+
+SQL = _sql()

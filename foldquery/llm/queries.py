@@ -20,5 +20,6 @@ QUERIES = {
 SQL = {
     "op1_license_scan": licenses.SQL,
     "op3_url_filter": url_filter.SQL,
+    "op5_ngram_jaccard_join": ngram_join.SQL,
     "op10_chat_format": chat_format.SQL,
 }
