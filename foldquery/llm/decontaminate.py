@@ -303,15 +303,15 @@ def _bit_table(windows: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bits: int = 26) -> DataFrame:
-    """docs with a column `found`: array of (item_id, cover, refilled) of the benchmark items that the text holds, by id.
+def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bits: int = 26, as_: str = "found") -> DataFrame:
+    """docs with a column `found` (or as_): array of (item_id, cover, refilled) of the benchmark items that the text holds, by id.
 
     Null or blank texts hold nothing; items without an id or words are left out; items shorter than five words must be a
     whole sentence or line. Equal items and repeated rows are all reported; of runs that cover equally much the first holds.
     With an empty benchmark nothing is found; an empty table gives no rows. Other columns stay, whatever their names, but a
-    column `found` is replaced. bits: of the bit table (8 MB); with fewer more keys are joined, with the same result.
+    column called as_ is replaced. bits: of the bit table (8 MB); with fewer more keys are joined, with the same result.
     """
-    spark, docs = docs.sparkSession, docs.drop("found")
+    spark, docs = docs.sparkSession, docs.drop(as_)
     id_type = benchmark.schema["item_id"].dataType
     found_type = T.ArrayType(T.StructType([T.StructField("item_id", id_type), T.StructField("cover", T.DoubleType()), T.StructField("refilled", T.BooleanType())]))
     items = benchmark.select("item_id", F.col("text").alias("item_text")).where("item_id is not null and item_text is not null").distinct().withColumn("item", F.xxhash64("item_id", "item_text"))
@@ -319,7 +319,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bi
     widths = sorted(r.k for r in windows.select("k").distinct().collect())  # 1 to 5
     if not widths:
         forget(windows)
-        return docs.withColumn("found", F.array().cast(found_type))
+        return docs.withColumn(as_, F.array().cast(found_type))
     shared = spark.sparkContext.broadcast(_bit_table(windows, bits))
     keyed = docs.select(F.xxhash64(text_col).alias("k1"), F.xxhash64(text_col, F.lit(1)).alias("k2"), F.col(text_col).alias("text")).where("text is not null")
     keys = keyed.mapInArrow(_looked_up(shared, widths, bits), "k1 long, k2 long, w long")
@@ -330,15 +330,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bi
     schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), *found_type.elementType.fields])
     held = written(both.mapInArrow(_verified, schema).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("item_id", "cover", "refilled"))).alias("found")), "found")
     forget(windows, pairs)
-    k1, k2 = unused("_k1", docs.columns), unused("_k2", docs.columns)
-    held = held.withColumnsRenamed({"k1": k1, "k2": k2})
+    k1, k2, own = unused("_k1", docs.columns), unused("_k2", docs.columns), unused("_found", docs.columns)
+    held = held.withColumnsRenamed({"k1": k1, "k2": k2, "found": own})
     out = docs.withColumns({k1: F.xxhash64(text_col), k2: F.xxhash64(text_col, F.lit(1))}).join(held, [k1, k2], "left")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("found", F.array().cast(found_type)).alias("found"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(own, F.array().cast(found_type)).alias(as_))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item; rows and columns else as they are."""
-    return find_items(docs, benchmark).where(F.size("found") == 0).drop("found")
+    own = unused("found", docs.columns)
+    return find_items(docs, benchmark, as_=own).where(F.size(own) == 0).drop(own)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

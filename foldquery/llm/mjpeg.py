@@ -404,6 +404,11 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text stored as motion-JPEG coefficients in an AVI file, read back and described."""
+    """Every document's text stored as motion-JPEG coefficients in an AVI file, read back and described.
+
+    A null text counts as empty, and an empty one is padded to one unit; texts of any length are stored whole. Equal texts have
+    equal rows, repeated rows all stay; ids are passed through, null or not; other columns are ignored; an empty table gives
+    no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(_media, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -120,7 +120,7 @@ def cut(text: str, lost: set[bytes], least_words: int = LEAST_WORDS, run_words:
     return spans + ([run] if run and n >= run_words else whole)
 
 
-def _cutter(names: list[str], text_col: str, least_words: int, run_words: int):
+def _cutter(names: list[str], text_col: str, least_words: int, run_words: int, as_: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -134,19 +134,19 @@ def _cutter(names: list[str], text_col: str, least_words: int, run_words: int):
                     kept.append(t)
                 cols = [pa.array(kept, pa.string()) if n == text_col else part.column(i) for i, n in enumerate(names)]
                 cols.append(pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-                yield pa.record_batch(cols, [*names, "removed"])
+                yield pa.record_batch(cols, [*names, as_])
 
     return run
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with the text cut and a column `removed`: array of (start, end) in characters of the original text.
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS, as_: str = "removed") -> DataFrame:
+    """docs with the text cut and a column `removed` (or as_): array of (start, end) in characters of the original text.
 
     Ids are of any ordered type. A null text stays null, an empty one empty, with nothing removed. Rows that share an id never
     lose units to each other, only to smaller ids; rows with a null id lose nothing to others and make others lose nothing. An
-    empty table gives no rows. Other columns stay, whatever their names, but one called `removed` is replaced.
+    empty table gives no rows. Other columns stay, whatever their names, but one called as_ is replaced.
     """
-    docs = docs.drop("removed")
+    docs = docs.drop(as_)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     hashed = written(keyed.mapInArrow(_hashed(least_words, run_words), f"d1 long, d2 long, id {kind}"), "units")
@@ -157,8 +157,8 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = written(lost, "lost")
     forget(hashed)
     joined = docs.join(lost, docs[id_col] == lost[id_], "left").drop(id_)
-    schema = T.StructType([*docs.schema.fields, T.StructField("removed", SPANS)])
-    return joined.mapInArrow(_cutter(docs.columns, text_col, least_words, run_words), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(as_, SPANS)])
+    return joined.mapInArrow(_cutter(docs.columns, text_col, least_words, run_words, as_), schema)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
