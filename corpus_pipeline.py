@@ -35,7 +35,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null text stays null, and so does its n_chars; rows without an id lose nothing; rows that repeat an id lose nothing to each
     other; an empty table gives no rows.
     """
-    return substring_dedup.dedup_units(docs).drop("removed").withColumn("n_chars", F.length("text").cast("long"))
+    own = unused("removed", docs.columns)
+    return substring_dedup.dedup_units(docs, as_=own).drop(own).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
