@@ -61,6 +61,35 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def test_lexicon_and_calibration_by_hand(spark):
+    """The whole fit again, over lists: log-odds with their prior for every significant word, and the tail of ordinary scores."""
+    docs, labels = corpus(300, 7)
+    docs = [(i, f"{t} {RUDE[i % 5]}" if i % 7 == 1 else t) for i, t in docs]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (999, 1), (998, 0)], "doc_id long, toxic int"))
+    toxic = dict(labels)
+    n1, n0 = sum(toxic.values()), 300 - sum(toxic.values())
+    held = [(toxicity.features(set(toxicity.tokens(t))), toxic[i]) for i, t in docs]
+    want = {}
+    for w in {w for f, _ in held for w in f}:
+        y1, n = sum(y for f, y in held if w in f), sum(w in f for f, _ in held)
+        a = (n + 0.5) / 301 * 50
+        d = np.log((y1 + a) / (n1 + 50 - y1 - a)) - np.log((n - y1 + a) / (n0 + 50 - (n - y1) - a))
+        if n >= 3 and abs(d / np.sqrt(1 / (y1 + a) + 1 / (n - y1 + a))) >= 2.5:
+            want[w] = d
+    assert set(want) == set(model.lexicon) and all(model.lexicon[w] == pytest.approx(d) for w, d in want.items()) and len(want) > 5
+    calm = [t for i, t in docs if not toxic[i]]
+    tops = sorted(s for t in calm for *_, s in best_segments_of(model, t))
+    edge = tops[(len(tops) - 1) // 2]
+    over = [s for s in tops if s >= edge]
+    lam = 1 / max(0.2, sum(over) / len(over) - edge)
+    assert model.lam == pytest.approx(lam) and model.k == pytest.approx(min(1.0, len(over) / sum(len(toxicity.tokens(t)) for t in calm) * np.exp(min(50, lam * edge))))
+
+
+def best_segments_of(model, text):
+    scores = [model.score_of(w) for w in toxicity.tokens(text)]
+    return best_segments(scores)
+
+
 def test_words_said_before_score_again():
     model = toxicity.ToxicModel({w: 4.0 for w in RUDE}, drift=1.0)
     calm = " ".join(CALM[:100])

@@ -113,6 +113,93 @@ def test_general_decoder(monkeypatch):
     assert (fast.luma() == slow.luma()).all() and fast.luma().shape == (16, 64)
 
 
+class Writer:
+    """A baseline JPEG writer of its own: 4:2:0, two Huffman tables of each kind, runs, restarts, byte stuffing."""
+
+    def __init__(self, width, height, restart, rng):
+        self.width, self.height, self.restart, self.rng = width, height, restart, rng
+        self.across, self.down = -(-width // 16), -(-height // 16)
+        self.quant = [[rng.randrange(1, 20) for _ in range(64)] for _ in range(2)]
+        self.parts = [(1, 2, 2, 0), (2, 1, 1, 1), (3, 1, 1, 1)]
+        symbols = [0x00, 0xF0] + [r << 4 | n for n in range(1, 7) for r in range(16)]
+        self.codes, self.tables = {}, b""
+        for kind, alphabet in ((0, list(range(9))), (1, symbols)):
+            for t in (0, 1):
+                order = rng.sample(alphabet, len(alphabet))
+                counts = [0, 1, 1, 2] + [0] * 12 if kind == 0 else [0, 1, 2, 1, 2] + [0] * 11
+                left, length = len(order) - sum(counts), 8 if kind else 6
+                while left > 0:
+                    counts[length - 1] = min(left, 40 if kind else 2)
+                    left -= counts[length - 1]
+                    length += 1
+                code, k = 0, 0
+                for n, count in enumerate(counts, 1):
+                    for _ in range(count):
+                        self.codes[kind, t, order[k]] = f"{code:0{n}b}"
+                        code, k = code + 1, k + 1
+                    code <<= 1
+                body = bytes((kind << 4 | t, *counts, *order))
+                self.tables += b"\xff\xc4" + (len(body) + 2).to_bytes(2) + body
+
+    def number(self, v):
+        n = abs(v).bit_length()
+        return n, f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def write(self):
+        self.blocks = [np.zeros((self.down * v, self.across * h, 64), int) for _, h, v, _ in self.parts]
+        for b in self.blocks:
+            b[:, :, 0] = [[self.rng.randrange(-60, 60) for _ in range(b.shape[1])] for _ in range(b.shape[0])]
+            for y, x in np.ndindex(b.shape[:2]):
+                for k in self.rng.sample(range(1, 64), self.rng.randrange(6)):
+                    b[y, x, k] = self.rng.randrange(-20, 21)
+        out, bits, before = b"", "", [0, 0, 0]
+        packed = lambda s: int("0" + s + "1" * (-len(s) % 8), 2).to_bytes((len(s) + 7) // 8).replace(b"\xff", b"\xff\x00")
+        for unit in range(self.across * self.down):
+            if unit and unit % self.restart == 0:
+                out, bits, before = out + packed(bits) + bytes((0xFF, 0xD0 + (unit // self.restart - 1) % 8)), "", [0, 0, 0]
+            row, col = divmod(unit, self.across)
+            for c, (_, h, v, t) in enumerate(self.parts):
+                for y, x in np.ndindex(v, h):
+                    block = self.blocks[c][row * v + y, col * h + x].tolist()
+                    n, told = self.number(block[0] - before[c])
+                    before[c] = block[0]
+                    bits += self.codes[0, t, n] + told
+                    run = 0
+                    for k in range(1, 64):
+                        if not any(block[k:]):
+                            bits += self.codes[1, t, 0]
+                            break
+                        if not block[k]:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits, run = bits + self.codes[1, t, 0xF0], run - 16
+                        n, told = self.number(block[k])
+                        bits, run = bits + self.codes[1, t, run << 4 | n] + told, 0
+        segment = lambda mark, body: b"\xff" + bytes((mark,)) + (len(body) + 2).to_bytes(2) + body
+        frame = bytes((8, *self.height.to_bytes(2), *self.width.to_bytes(2), 3)) + b"".join(bytes((i, h << 4 | v, t)) for i, h, v, t in self.parts)
+        scan = bytes((3, *(x for i, _, _, t in self.parts for x in (i, t << 4 | t)), 0, 63, 0))
+        quant = bytes((0, *self.quant[0], 1, *self.quant[1]))
+        return b"\xff\xd8" + segment(0xE0, b"JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00") + segment(0xDB, quant) + segment(0xC0, frame) + self.tables + segment(0xDD, self.restart.to_bytes(2)) + segment(0xDA, scan) + out + packed(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("width", "height", "restart"), [(37, 21, 2), (16, 16, 1), (64, 48, 5)])
+def test_foreign_frames(width, height, restart):
+    """Frames that another writer made: coefficients as written, samples by the transform's definition."""
+    w = Writer(width, height, restart, random.Random(width))
+    got = mjpeg.Jpeg.read(w.write())
+    assert [b.tolist() for b in got.blocks] == [b.tolist() for b in w.blocks] and got.plain is None
+    basis = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    want = np.zeros((w.down * 16, w.across * 16))
+    for y, x in np.ndindex(w.blocks[0].shape[:2]):
+        grid = np.zeros((8, 8))
+        for k, at in enumerate(order):
+            grid[at] = w.blocks[0][y, x, k] * w.quant[0][k]
+        want[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = np.clip(basis.T @ grid @ basis + 128, 0, 255)
+    assert np.abs(got.luma() - want[:height, :width]).max() <= 1
+
+
 def test_inverse_transform():
     rng = np.random.default_rng(0)
     samples = rng.integers(0, 256, (5, 8, 8))
