@@ -13,9 +13,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a maximal run of characters other than ASCII white space.
-WORD_BREAK = "\x20\x09\x0a\x0b\x0c\x0d"
-
 _written: dict[str, SparkSession] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
@@ -104,13 +101,12 @@ def ascii_lower(c: Column | str) -> Column:
 
 # ---- words and shingles as 64-bit numbers -------------------------------------------------
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_SPACES = str.maketrans({c: " " for c in WORD_BREAK})
 ODD, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def words(text: str) -> list[str]:
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+def words(text: str) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased: bytes know no other letters and no other white space than ASCII's."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,27 +116,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash:
-    """64-bit numbers of words, the same in every process. Remembers up to `room` of them, so memory is bounded."""
+    """64-bit numbers of words, the same in every process. Remembers up to `room` of them and one text's, so memory is bounded."""
 
     def __init__(self, room: int = 400_000):
         import xxhash
 
         self._of, self._room, self._hash = {}, room, xxhash.xxh3_64_intdigest
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        known, out = self._of, None
-        try:
-            out = [known[w] for w in tokens]
-        except KeyError:
-            if len(known) > self._room:
-                known.clear()
-            digest = self._hash
-            out = []
-            for w in tokens:
-                if (h := known.get(w)) is None:
-                    known[w] = h = digest(w.encode("utf-8", "surrogatepass"))
-                out.append(h)
-        return np.array(out, dtype=np.uint64)
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
+        known, digest = self._of, self._hash
+        if len(known) > self._room:
+            known.clear()
+        for w in set(tokens).difference(known):
+            known[w] = digest(w)
+        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def shingle_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -149,16 +138,17 @@ def shingle_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
         return tokens
     n = max(1, len(tokens) - k + 1)
     k = min(k, len(tokens))
-    h = np.full(n, np.uint64(k), dtype=np.uint64)
+    h = tokens[:n].copy()
     with np.errstate(over="ignore"):
-        for i in range(k):
-            h = mixed(h * ODD + tokens[i : i + n])
-    return h
+        for i in range(1, k):
+            h *= ODD
+            h += tokens[i : i + n]
+        return mixed(h + np.uint64(k))
 
 
 def shingle_set(text: str | None, k: int, hasher: WordHash) -> np.ndarray:
     """The distinct shingles of a text (A-Z lower-cased), ascending."""
-    return np.unique(shingle_hashes(hasher(words(text.translate(_LOWER))), k)) if text else np.empty(0, np.uint64)
+    return np.unique(shingle_hashes(hasher(words(text)), k)) if text else np.empty(0, np.uint64)
 
 
 # ---- connected components -----------------------------------------------------------------

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shingles(text, k):
-    w = words((text or "").translate(LOWER))
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    assert [x.encode() for x in w] == words(text or "")
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
@@ -48,7 +50,7 @@ def test_brute_force(spark, k, num, options):
     rng = random.Random(k)
     texts = near_copies(rng, 60, 80, 6) + near_copies(rng, 30, 25, 3) + near_copies(rng, 30, 200, 12)
     texts += [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(0, 9))) for _ in range(60)]
-    texts += texts[:10] + ["", "  \t\n", "a", "A", "a b", "A  B", "a b c"]
+    texts += texts[:10] + ["", "  \t\n", "a", "É\x1c\x85x\u00a0y Ü\u2003z", "A", "a b", "A  B", "a b c"]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), ngram=k, num=num, den=100, **options).collect()
