@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldquery.functions import energy, nucleotides, render
-from foldquery.operators import helices, records, regions, store
+from foldquery.operators import helices, records, regions, store, strands
 from foldquery.plans import cssd
 from foldquery.plans.search import _steps, hit_counts, search
 from foldquery.sources.files import collection, literal, rna_from_documents
@@ -436,8 +436,7 @@ def enum_helices_ext(spark, d):
 @query("helix_runs", f"WITH {POS}, {_pairs_sql(4, 20)}, g AS (SELECT *, i - row_number() OVER (PARTITION BY seq_id, i + j ORDER BY i) AS island FROM pairs), r AS (SELECT seq_id, i, j, row_number() OVER (PARTITION BY seq_id, i + j, island ORDER BY i DESC) AS run FROM g) SELECT seq_id, run, count(*) AS n FROM r GROUP BY ALL")
 def helix_runs(spark, d):
     """Runs of pairs on anti-diagonals, counted by length."""
-    runs = helices.helix_runs(helices.pair_self_join(rna_from_documents(spark, d), 4, 20))
-    return runs.groupBy("seq_id", F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    return strands.run_counts(rna_from_documents(spark, d), 4, 20)
 
 
 @query("helix_cap", f"WITH {POS}, {H34} SELECT {_H_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY seq_id, len, tp - fp - len ORDER BY fp, tp) AS n FROM helices) WHERE n <= 10")
