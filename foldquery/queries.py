@@ -448,6 +448,10 @@ def helix_cap(spark, d):
 _INNER, _OUTER = (4, 4, 3, 3), (2, 2, 11, 14)
 
 
+def _nested(spark, d, keep):
+    return strands.nested(rna_from_documents(spark, d), _OUTER, _INNER, (0, 2), (0, 1), keep)
+
+
 def _two(spark, d):
     rna = rna_from_documents(spark, d)
     return helices.enum_helices(rna, *_OUTER), helices.enum_helices(rna, *_INNER)
@@ -466,8 +470,7 @@ _IN = "i.seq_id = o.seq_id AND i.fp BETWEEN o.fp + o.len AND o.fp + o.len + 2 AN
 
 @query("join_containment", f"{_TWO} SELECT o.seq_id, CAST(o.fp AS INTEGER) AS o_fp, CAST(o.tp AS INTEGER) AS o_tp, CAST(i.fp AS INTEGER) AS fp, CAST(i.tp AS INTEGER) AS tp FROM outer_ o JOIN inner_ i ON {_IN}")
 def join_containment(spark, d):
-    outer, inner = _two(spark, d)
-    return helices.contained(outer, inner, (0, 2), (0, 1)).select("seq_id", "o_fp", "o_tp", "fp", "tp")
+    return _nested(spark, d, "both").select("seq_id", "o_fp", "o_tp", "fp", "tp")
 
 
 @query("semi_join_up", f"{_TWO} SELECT {_H_COLS} FROM inner_ i WHERE EXISTS (SELECT 1 FROM outer_ o WHERE {_IN})")

@@ -1,4 +1,4 @@
-"""Runs inside a sequence against the same over tables, and what they shuffle."""
+"""Runs and containment inside a sequence against the same relations over tables, and what they shuffle."""
 
 import random
 import re
@@ -60,3 +60,56 @@ def test_helix_runs_shuffles_counts_only(spark):
     text = plan(queries.QUERIES["helix_runs"](spark, SF))
     assert "Window" not in text and "SortMergeJoin" not in text
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1 and "partial_sum" in text
+
+
+TABLES = {"both": helices.contained, "inner": lambda o, i, *r: helices.with_outer(i, o, *r), "outer": helices.with_inner}
+RANGES = [((2, 2, 11, 14), (4, 4, 3, 3), (0, 2), (0, 1)), ((1, 3, 4, 9), (1, 2, 0, 3), (0, 1), (1, 2)), ((0, 2, 7, 8), (2, 3, 1, 2), (2, 2), (0, 0))]
+
+
+def by_tables(rna, outer, inner, lead, tail, keep):
+    found = TABLES[keep](helices.enum_helices(rna, *outer), helices.enum_helices(rna, *inner), lead, tail)
+    return told(found.select("seq_id", *(["o_fp", "o_tp", "o_len"] if keep == "both" else []), "fp", "tp", "len"))
+
+
+def by_chunks(monkeypatch, keep):
+    """What a task makes of rows cut into parts, at any chunk, is what it makes of the whole sequences."""
+    draw = random.Random(7)
+    rows = [(k, 0, n, "".join(draw.choices("cg", k=n))) for k, n in enumerate([60, 16, 400, 3, 90])]
+    ways = strands._nestings(*RANGES[0])
+    span, before = 18, 4 if keep == "inner" else 0
+    run = strands._nester("seq_id", ways, span, before, keep)
+    whole = rows_of(run([batch(rows, span)]))
+    cut = [(k, a, min(25, n - a), nt[max(0, a - before) : a + 25 + span - 1]) for k, _, n, nt in rows for a in range(0, n, 25)]
+    monkeypatch.setattr(strands, "_CHUNK", 13)
+    assert rows_of(run([batch(rows, span)])) == whole != []
+    assert rows_of(run([batch(cut, span)])) == whole
+
+
+def stays_in_its_task(spark, name):
+    """The texts are dealt out once; helices meet where they are found."""
+    text = plan(queries.QUERIES[name](spark, SF))
+    assert "Join" not in text and "hashpartitioning" not in text and "Aggregate" not in text
+
+
+@pytest.mark.parametrize("part", [1 << 20, 37])
+@pytest.mark.parametrize("ranges", RANGES)
+def test_nested_both(spark, rna, monkeypatch, ranges, part):
+    monkeypatch.setattr(strands, "_PART", part)
+    assert told(strands.nested(rna, *ranges)) == by_tables(rna, *ranges, "both") != []
+
+
+def test_nested_both_by_chunks(monkeypatch):
+    by_chunks(monkeypatch, "both")
+
+
+def test_join_containment_without_join(spark):
+    stays_in_its_task(spark, "join_containment")
+
+
+def test_nested_of_nothing(spark, rna):
+    """Ranges that leave no room, and a sequence without an id."""
+    assert told(strands.nested(rna, (2, 2, 3, 4), (4, 4, 3, 3), (0, 2), (0, 1))) == []
+    nobody = spark.createDataFrame([(None, "gggg" * 40 + "cccc" * 40)], "seq_id long, nt string")
+    assert told(strands.nested(nobody, *RANGES[0])) == by_tables(nobody, *RANGES[0], "both") == []
+    with pytest.raises(ValueError, match="keep"):
+        strands.nested(rna, *RANGES[0], keep="none")
