@@ -481,8 +481,7 @@ def semi_join_up(spark, d):
 
 @query("semi_join_down", f"{_TWO} SELECT {_H_COLS} FROM outer_ o WHERE EXISTS (SELECT 1 FROM inner_ i WHERE {_IN})")
 def semi_join_down(spark, d):
-    outer, inner = _two(spark, d)
-    return helices.with_inner(outer, inner, (0, 2), (0, 1))
+    return _nested(spark, d, "outer")
 
 
 _H5 = (5, 5, 3, 4)

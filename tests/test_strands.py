@@ -113,3 +113,18 @@ def test_nested_of_nothing(spark, rna):
     assert told(strands.nested(nobody, *RANGES[0])) == by_tables(nobody, *RANGES[0], "both") == []
     with pytest.raises(ValueError, match="keep"):
         strands.nested(rna, *RANGES[0], keep="none")
+
+
+@pytest.mark.parametrize("part", [1 << 20, 37])
+@pytest.mark.parametrize("ranges", RANGES)
+def test_nested_outer(spark, rna, monkeypatch, ranges, part):
+    monkeypatch.setattr(strands, "_PART", part)
+    assert told(strands.nested(rna, *ranges, "outer")) == by_tables(rna, *ranges, "outer") != []
+
+
+def test_nested_outer_by_chunks(monkeypatch):
+    by_chunks(monkeypatch, "outer")
+
+
+def test_semi_join_down_without_join(spark):
+    stays_in_its_task(spark, "semi_join_down")
