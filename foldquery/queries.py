@@ -452,11 +452,6 @@ def _nested(spark, d, keep):
     return strands.nested(rna_from_documents(spark, d), _OUTER, _INNER, (0, 2), (0, 1), keep)
 
 
-def _two(spark, d):
-    rna = rna_from_documents(spark, d)
-    return helices.enum_helices(rna, *_OUTER), helices.enum_helices(rna, *_INNER)
-
-
 def _two_sql() -> str:
     inner, outer = _helix_sql(*_INNER), _helix_sql(*_OUTER)
     inner = inner.replace("w AS MATERIALIZED", "wi AS MATERIALIZED").replace("helices AS", "inner_ AS").replace("FROM w ", "FROM wi ")
@@ -475,8 +470,7 @@ def join_containment(spark, d):
 
 @query("semi_join_up", f"{_TWO} SELECT {_H_COLS} FROM inner_ i WHERE EXISTS (SELECT 1 FROM outer_ o WHERE {_IN})")
 def semi_join_up(spark, d):
-    outer, inner = _two(spark, d)
-    return helices.with_outer(inner, outer, (0, 2), (0, 1)).select("seq_id", "fp", "tp", "len")
+    return _nested(spark, d, "inner")
 
 
 @query("semi_join_down", f"{_TWO} SELECT {_H_COLS} FROM outer_ o WHERE EXISTS (SELECT 1 FROM inner_ i WHERE {_IN})")

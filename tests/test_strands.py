@@ -128,3 +128,18 @@ def test_nested_outer_by_chunks(monkeypatch):
 
 def test_semi_join_down_without_join(spark):
     stays_in_its_task(spark, "semi_join_down")
+
+
+@pytest.mark.parametrize("part", [1 << 20, 37])
+@pytest.mark.parametrize("ranges", RANGES)
+def test_nested_inner(spark, rna, monkeypatch, ranges, part):
+    monkeypatch.setattr(strands, "_PART", part)
+    assert told(strands.nested(rna, *ranges, "inner")) == by_tables(rna, *ranges, "inner") != []
+
+
+def test_nested_inner_by_chunks(monkeypatch):
+    by_chunks(monkeypatch, "inner")
+
+
+def test_semi_join_up_without_join(spark):
+    stays_in_its_task(spark, "semi_join_up")
